@@ -64,17 +64,19 @@ def gaussian_posterior(stats: DataFrame, model: GaussianModel) -> DataFrame:
     n, s = F.col("n_k").cast("double"), F.col("s")
     dim = model.dim
     back = np.linalg.inv(model.whitening)
+
+    def combine(weights, parts) -> Column:
+        terms = [F.lit(float(w)) * p for w, p in zip(weights, parts) if abs(w) > 1e-300]
+        out = terms[0] if terms else F.lit(0.0)
+        for t in terms[1:]:
+            out = out + t
+        return out
+
     white_mean = [gaussian_mean(model, n, s, i) for i in range(dim)]
     white_var = [F.lit(1.0) / gaussian_precision(model, n, i) for i in range(dim)]
-    mean = F.array(
-        *[sum((F.lit(float(back[r, i])) * white_mean[i] for i in range(dim)), F.lit(0.0)) for r in range(dim)]
-    )
+    mean = F.array(*[combine(back[r], white_mean) for r in range(dim)])
     cov = F.array(
-        *[
-            sum((F.lit(float(back[r, i] * back[c, i])) * white_var[i] for i in range(dim)), F.lit(0.0))
-            for r in range(dim)
-            for c in range(dim)
-        ]
+        *[combine(back[r] * back[c], white_var) for r in range(dim) for c in range(dim)]
     )
     return stats.withColumns({"post_mean": mean, "post_cov": cov})
 
