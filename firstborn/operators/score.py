@@ -240,7 +240,7 @@ def leave_one_out(
         pairs = scored.filter(~F.col("is_new"))
         fresh = scored.filter(F.col("is_new"))
         old = dirichlet_predictive(terms, held, pairs, model, by, leave_out=True)
-        new = dirichlet_predictive(terms, held.limit(0), fresh, model, by)
+        new = dirichlet_predictive(terms, held.filter(F.lit(False)), fresh, model, by)
         scored = old.unionByName(new)
     return scored.withColumn("score", F.col("log_prior") + F.col("log_data"))
 

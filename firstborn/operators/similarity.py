@@ -235,4 +235,4 @@ def map_draw(trace: DataFrame, burn_in: int = 0, by: Sequence[str] = ("chain",))
 
 def take_draw(draws: DataFrame, chosen: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
     """The clustering of the chosen iteration; ``chosen`` has one row per chain."""
-    return draws.join(F.broadcast(chosen.select(*by, "iteration")), [*by, "iteration"])
+    return draws.join(chosen.select(*by, "iteration"), [*by, "iteration"])
