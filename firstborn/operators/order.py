@@ -71,18 +71,25 @@ def running_sums(
     inclusive: bool = False,
     block: int = BLOCK,
     levels: int = 2,
+    stored: bool = False,
 ) -> DataFrame:
     """Running sums of several values along an integer ``position`` axis.
 
     A block spans ``block`` positions, so it holds at most that many rows of
     any one series; the totals of the blocks are summed the same way one level
     up.  The rows of one series are never gathered in one task.
+
+    The input is read twice (inside blocks, and for their totals), so it is
+    written once first unless it is ``stored`` already; chained running sums
+    would otherwise repeat everything below them.
     """
     exprs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}
     last = 0 if inclusive else -1
     if levels <= 1:
         frame = W.partitionBy(*by).orderBy(position).rowsBetween(W.unboundedPreceding, last)
         return df.withColumns({k: F.coalesce(F.sum(v).over(frame), F.lit(0)) for k, v in exprs.items()})
+    if not stored:
+        df = persist_reliably(df)
     blocked = df.withColumn("_blk", F.floor((F.col(position) - 1) / F.lit(block)) + 1)
     frame = W.partitionBy(*by, "_blk").orderBy(position).rowsBetween(W.unboundedPreceding, last)
     inner = blocked.withColumns(
@@ -96,6 +103,7 @@ def running_sums(
         by,
         block=block,
         levels=levels - 1,
+        stored=True,
     ).drop(*[f"_tot_{k}" for k in exprs])
     return (
         inner.join(offsets, [*by, "_blk"])
@@ -109,11 +117,11 @@ def segment_ids(
 ) -> DataFrame:
     """Change-point indicators to segment numbers: an inclusive running sum."""
     value = F.col(indicator).cast("bigint")
-    return running_sums(df, {name: value}, position, by, inclusive=True)
+    return running_sums(df, {name: value}, position, by, inclusive=True, stored=True)
 
 
 def alive_clusters(assignments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Clusters born up to each position, and before it."""
     born = (F.col("obs") == F.col("cluster")).cast("bigint")
-    out = running_sums(assignments, {"alive_before": born}, "obs", by)
+    out = running_sums(assignments, {"alive_before": born}, "obs", by, stored=True)
     return out.withColumn("alive", F.col("alive_before") + born)

@@ -17,19 +17,20 @@ from pyspark.sql import functions as F
 
 from ..functions.special import lbeta
 from ..models import CountModel, DirichletProcessPrior, GaussianModel, StickArrivalPrior
+from ..session import persist_reliably
 from .joins import skew_join
-from .labels import cluster_ranks, cluster_sizes
+from .labels import cluster_sizes
 from .likelihood import dirichlet_predictive, gaussian_predictive
 from .order import running_sums
 from .prior import stick_posteriors
 from .stats import count_stats, gaussian_stats
 
 
-def scored_rows(assignments: DataFrame, by: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """Eligible observations with their own cluster's size and rank."""
-    sizes = cluster_sizes(assignments, by)
-    ranked = cluster_ranks(sizes, by)
-    rows = skew_join(assignments, ranked, [*by, "cluster"], size="n_k", spread="obs")
+def scored_rows(
+    assignments: DataFrame, sizes: DataFrame, by: Sequence[str], carry: Sequence[str] = ()
+) -> DataFrame:
+    """Eligible observations, and whether each stands alone."""
+    rows = skew_join(assignments, sizes, [*by, "cluster"], size="n_k", spread="obs")
     rows = rows.withColumn("single", (F.col("obs") == F.col("cluster")) & (F.col("n_k") == 1))
     return rows.filter((F.col("obs") > F.col("cluster")) | F.col("single")).select(
         *by, "obs", "cluster", "single", *carry
@@ -97,12 +98,13 @@ def _join_births(paths: DataFrame, by: Sequence[str]) -> DataFrame:
     """For births k and l < k: the cost of k's members now passing over l, summed over l above a rank."""
     young = paths.select(*by, F.col("cluster").alias("candidate"), F.col("rank").alias("_krank"), F.col("n_k").alias("_nk"))
     old = paths.select(*by, F.col("rank").alias("_lrank"), F.col("stick_a").alias("_a"), F.col("stick_b").alias("_b"))
-    pairs = young.join(old, list(by)).filter(F.col("_lrank") < F.col("_krank"))
     gain = lbeta(F.col("_a"), F.col("_b") + F.col("_nk")) - lbeta(F.col("_a"), F.col("_b"))
+    pairs = young.join(old, list(by)).filter(F.col("_lrank") < F.col("_krank"))
+    pairs = persist_reliably(pairs.select(*by, "candidate", "_lrank", gain.alias("_gain")))
     cum = running_sums(
-        pairs.withColumn("_gain", gain), {"_upto": F.col("_gain")}, "_lrank", [*by, "candidate"], inclusive=True
+        pairs, {"_upto": F.col("_gain")}, "_lrank", [*by, "candidate"], inclusive=True, stored=True
     )
-    full = pairs.withColumn("_gain", gain).groupBy(*by, "candidate").agg(F.sum("_gain").alias("_all"))
+    full = pairs.groupBy(*by, "candidate").agg(F.sum("_gain").alias("_all"))
     return (
         cum.join(full, [*by, "candidate"])
         .select(*by, "candidate", F.col("_lrank").alias("alive"), (F.col("_all") - F.col("_upto")).alias("passed"))
@@ -121,8 +123,8 @@ def prior_scores(
     ``rebirth=False`` leaves out candidates younger than the observation,
     which is the candidate set the samplers use and needs no cluster pairs.
     """
-    sizes = cluster_sizes(assignments, by)
-    rows = scored_rows(assignments, by, carry)
+    sizes = persist_reliably(cluster_sizes(assignments, by))
+    rows = scored_rows(assignments, sizes, by, carry)
     if isinstance(prior, DirichletProcessPrior):
         pairs = candidate_pairs(rows, sizes, by, carry)
         held = sizes.withColumnRenamed("cluster", "candidate")
@@ -134,7 +136,7 @@ def prior_scores(
 
     a0, b0 = (float(v) for v in prior.sticks)
     p1, p2 = (float(v) for v in prior.arrivals)
-    paths = _cluster_paths(sizes, prior, by)
+    paths = persist_reliably(_cluster_paths(sizes, prior, by))
     points = _position_paths(assignments, paths, by)
     shape = sizes.groupBy(*by).agg(F.sum("n_k").alias("_n"), F.count("*").alias("_k"))
     own = paths.select(
@@ -149,8 +151,10 @@ def prior_scores(
     placed = rows.join(points, [*by, "obs"])
     placed = skew_join(placed, own, [*by, "cluster"], size="_own_size", spread="obs")
     extra = ["before", "before_less", "older", "alive", "own_path", "own_path_less", "own_skip", "own_less"]
-    placed = placed.withColumn(
-        "_comp", F.col("older") - F.when(F.col("single"), 0).otherwise(1) - (F.col("obs") - 1)
+    placed = persist_reliably(
+        placed.withColumn(
+            "_comp", F.col("older") - F.when(F.col("single"), 0).otherwise(1) - (F.col("obs") - 1)
+        )
     )
     pairs = candidate_pairs(placed, sizes, by, [*carry, *extra, "_comp"])
     cand = paths.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.labels import canonical_labels
 from ..operators.order import number_rows
+from ..session import persist_reliably
 
 
 def ordered_observations(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -19,8 +20,8 @@ def ordered_observations(df: DataFrame, order_by: Sequence[str], by: Sequence[st
 def assigned_observations(
     df: DataFrame, order_by: Sequence[str], label: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Ordered observations with the canonical cluster of their label."""
-    return canonical_labels(number_rows(df, order_by, by), label, by)
+    """Ordered observations with the canonical cluster of their label, written once."""
+    return persist_reliably(canonical_labels(number_rows(df, order_by, by), label, by))
 
 
 def count_table(rows: DataFrame, keys: Sequence[str], term: Column, cnt: Column | None = None) -> DataFrame:
