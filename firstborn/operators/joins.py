@@ -19,16 +19,17 @@ def skew_join(
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Join ``rows`` to ``groups`` (unique on ``on``), splitting large groups.
+    """Join ``rows`` to ``groups``, splitting the groups that hold many rows.
 
-    ``size`` is the group's row count.  Only groups above ``rows_per_salt``
+    ``size`` is the number of ``rows`` in the group, the same on every
+    ``groups`` row of one key.  Only groups above ``rows_per_salt``
     rows are salted: there are at most ``n / rows_per_salt`` of them, which
-    bounds the broadcast list of hot keys.  Their group row is repeated once
+    bounds the broadcast list of hot keys.  Their group rows are repeated once
     per salt; all other groups keep salt 0 and are joined once.
     """
     on = list(on)
     salts = F.ceil(F.col(size) / F.lit(rows_per_salt)).cast("int")
-    hot = groups.filter(F.col(size) > rows_per_salt).select(*on, salts.alias("_salts"))
+    hot = groups.filter(F.col(size) > rows_per_salt).select(*on, salts.alias("_salts")).distinct()
     salted_rows = (
         rows.join(F.broadcast(hot), on, "left")
         .withColumn(

@@ -37,14 +37,31 @@ def scored_rows(
     )
 
 
-def candidate_pairs(rows: DataFrame, sizes: DataFrame, by: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """Existing clusters that survive the removal, and the new cluster at ``obs``."""
+def candidate_pairs(
+    rows: DataFrame,
+    clusters: DataFrame,
+    by: Sequence[str],
+    carry: Sequence[str] = (),
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """Existing clusters that survive the removal, and the new cluster at ``obs``.
+
+    One salted join per series brings everything known about a cluster
+    (``extra``) along, so the observation x cluster table is never joined again.
+    """
     keep = [*by, "obs", "cluster", "single", *carry]
-    clusters = sizes.select(*by, F.col("cluster").alias("candidate"))
-    existing = rows.join(clusters, list(by)).filter(~(F.col("single") & (F.col("candidate") == F.col("obs"))))
-    new = rows.withColumn("candidate", F.col("obs"))
-    return existing.select(*keep, "candidate", F.lit(False).alias("is_new")).unionByName(
-        new.select(*keep, "candidate", F.lit(True).alias("is_new"))
+    total = clusters.groupBy(*by).agg(F.sum("n_k").alias("_rows"))
+    sized = clusters.join(total, list(by)).select(
+        *by, F.col("cluster").alias("candidate"), *extra, "_rows"
+    )
+    joined = skew_join(rows, sized, by, size="_rows", spread="obs")
+    existing = joined.filter(~(F.col("single") & (F.col("candidate") == F.col("obs"))))
+    kinds = {f.name: f.dataType for f in clusters.schema.fields}
+    new = rows.withColumn("candidate", F.col("obs")).withColumns(
+        {c: F.lit(None).cast(kinds[c]) for c in extra}
+    )
+    return existing.select(*keep, "candidate", F.lit(False).alias("is_new"), *extra).unionByName(
+        new.select(*keep, "candidate", F.lit(True).alias("is_new"), *extra)
     )
 
 
@@ -117,21 +134,29 @@ def prior_scores(
     by: Sequence[str],
     carry: Sequence[str] = (),
     rebirth: bool = True,
+    per_cluster: DataFrame | None = None,
 ) -> DataFrame:
     """Log prior predictive of each candidate with the observation taken out.
 
+    ``by`` names the series; one long series needs a constant key column.
     ``rebirth=False`` leaves out candidates younger than the observation,
     which is the candidate set the samplers use and needs no cluster pairs.
+    Columns of ``per_cluster(by, cluster, ...)`` come along with the candidates.
     """
+    if not by:
+        raise ValueError("name a series key; a single series takes a constant column")
     sizes = persist_reliably(cluster_sizes(assignments, by))
     rows = scored_rows(assignments, sizes, by, carry)
+    more = [c for c in per_cluster.columns if c not in (*by, "cluster")] if per_cluster is not None else []
+
+    def with_more(clusters: DataFrame) -> DataFrame:
+        return clusters if per_cluster is None else clusters.join(per_cluster, [*by, "cluster"])
+
     if isinstance(prior, DirichletProcessPrior):
-        pairs = candidate_pairs(rows, sizes, by, carry)
-        held = sizes.withColumnRenamed("cluster", "candidate")
-        joined = pairs.join(held, [*by, "candidate"], "left")
+        pairs = candidate_pairs(rows, with_more(sizes), by, carry, ["n_k", *more])
         left = F.col("n_k") - (F.col("candidate") == F.col("cluster")).cast("bigint")
         score = F.when(F.col("is_new"), F.lit(math.log(prior.alpha))).otherwise(F.ln(left))
-        out = joined.withColumn("log_prior", score).drop("n_k")
+        out = pairs.withColumn("log_prior", score).drop("n_k")
         return out if rebirth else out.filter(F.col("candidate") <= F.col("obs"))
 
     a0, b0 = (float(v) for v in prior.sticks)
@@ -139,7 +164,7 @@ def prior_scores(
     paths = persist_reliably(_cluster_paths(sizes, prior, by))
     points = _position_paths(assignments, paths, by)
     shape = sizes.groupBy(*by).agg(F.sum("n_k").alias("_n"), F.count("*").alias("_k"))
-    own = paths.select(
+    own = paths.join(shape, list(by)).select(
         *by,
         "cluster",
         F.col("path").alias("own_path"),
@@ -147,28 +172,35 @@ def prior_scores(
         F.col("skip").alias("own_skip"),
         F.col("own_less").alias("own_less"),
         F.col("n_k").alias("_own_size"),
+        "_n",
+        "_k",
     )
     placed = rows.join(points, [*by, "obs"])
     placed = skew_join(placed, own, [*by, "cluster"], size="_own_size", spread="obs")
-    extra = ["before", "before_less", "older", "alive", "own_path", "own_path_less", "own_skip", "own_less"]
+    known = ["before", "before_less", "older", "alive", "own_path", "own_path_less", "own_skip", "own_less"]
     placed = persist_reliably(
         placed.withColumn(
             "_comp", F.col("older") - F.when(F.col("single"), 0).otherwise(1) - (F.col("obs") - 1)
         )
     )
-    pairs = candidate_pairs(placed, sizes, by, [*carry, *extra, "_comp"])
-    cand = paths.select(
-        *by,
-        F.col("cluster").alias("candidate"),
-        "stick_a",
-        "stick_b",
-        F.col("path").alias("k_path"),
-        F.col("path_less").alias("k_path_less"),
+    clusters = with_more(
+        paths.select(
+            *by,
+            "cluster",
+            "n_k",
+            "stick_a",
+            "stick_b",
+            F.col("path").alias("k_path"),
+            F.col("path_less").alias("k_path_less"),
+        )
+    )
+    joined = candidate_pairs(
+        placed,
+        clusters,
+        by,
+        [*carry, *known, "_comp", "_n", "_k"],
+        ["stick_a", "stick_b", "k_path", "k_path_less", *more],
     )
-    if by:
-        joined = pairs.join(cand, [*by, "candidate"], "left").join(shape, list(by))
-    else:
-        joined = pairs.join(cand, ["candidate"], "left").join(F.broadcast(shape), F.lit(True))
     obs, c, k, single = F.col("obs"), F.col("cluster"), F.col("candidate"), F.col("single")
     kept = F.col("_k") - single.cast("bigint")
     if rebirth:
@@ -208,6 +240,7 @@ def prior_scores(
         *carry,
         "candidate",
         "is_new",
+        *more,
         F.when(F.col("is_new"), fresh).otherwise(existing).alias("log_prior"),
     )
 
@@ -222,11 +255,10 @@ def leave_one_out(
 ) -> DataFrame:
     """Prior plus data score of every candidate, with the observation taken out of both."""
     if isinstance(model, GaussianModel):
-        scored = prior_scores(assignments, prior, by, ["y"], rebirth)
         stats = gaussian_stats(assignments, model, by).select(
-            *by, F.col("cluster").alias("candidate"), F.col("n_k").alias("_n_k"), F.col("s").alias("_s")
+            *by, "cluster", F.col("n_k").alias("_n_k"), F.col("s").alias("_s")
         )
-        joined = scored.join(stats, [*by, "candidate"], "left")
+        joined = prior_scores(assignments, prior, by, ["y"], rebirth, stats)
         own = (~F.col("is_new")) & (F.col("candidate") == F.col("cluster"))
         n = F.when(F.col("is_new"), F.lit(0)).otherwise(F.col("_n_k") - own.cast("int")).cast("double")
         zeros = F.array(*[F.lit(0.0)] * model.dim)
@@ -238,7 +270,7 @@ def leave_one_out(
             .drop("_n_k", "_s", "_left", "_sum", "y")
         )
     else:
-        scored = prior_scores(assignments, prior, by, rebirth=rebirth)
+        scored = persist_reliably(prior_scores(assignments, prior, by, rebirth=rebirth))
         held = count_stats(terms, assignments, by, [*by, "obs"])
         # A new cluster must not meet the stored counts of the singleton it replaces.
         pairs = scored.filter(~F.col("is_new"))
