@@ -90,25 +90,26 @@ def running_sums(
         return df.withColumns({k: F.coalesce(F.sum(v).over(frame), F.lit(0)) for k, v in exprs.items()})
     if not stored:
         df = persist_reliably(df)
-    blocked = df.withColumn("_blk", F.floor((F.col(position) - 1) / F.lit(block)) + 1)
-    frame = W.partitionBy(*by, "_blk").orderBy(position).rowsBetween(W.unboundedPreceding, last)
+    blk = f"_block{levels}"
+    blocked = df.withColumn(blk, F.floor((F.col(position) - 1) / F.lit(block)) + 1)
+    frame = W.partitionBy(*by, blk).orderBy(position).rowsBetween(W.unboundedPreceding, last)
     inner = blocked.withColumns(
         {f"_in_{k}": F.coalesce(F.sum(v).over(frame), F.lit(0)) for k, v in exprs.items()}
     )
-    totals = blocked.groupBy(*by, "_blk").agg(*[F.sum(v).alias(f"_tot_{k}") for k, v in exprs.items()])
+    totals = blocked.groupBy(*by, blk).agg(*[F.sum(v).alias(f"_tot_{k}") for k, v in exprs.items()])
     offsets = running_sums(
         totals,
         {f"_pre_{k}": f"_tot_{k}" for k in exprs},
-        "_blk",
+        blk,
         by,
         block=block,
         levels=levels - 1,
         stored=True,
     ).drop(*[f"_tot_{k}" for k in exprs])
     return (
-        inner.join(offsets, [*by, "_blk"])
+        inner.join(offsets, [*by, blk])
         .withColumns({k: F.col(f"_in_{k}") + F.coalesce(F.col(f"_pre_{k}"), F.lit(0)) for k in exprs})
-        .drop("_blk", *[f"_in_{k}" for k in exprs], *[f"_pre_{k}" for k in exprs])
+        .drop(blk, *[f"_in_{k}" for k in exprs], *[f"_pre_{k}" for k in exprs])
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +44,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+_OPEN_SCOPES: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def persist_reliably(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and go on from the table.
+
+    Losing executors loses nothing.  Unlike a checkpoint the table keeps its
+    true size, so later joins are planned on it, and is read by column.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.option("compression", "lz4").parquet(path)
+    for scope in _OPEN_SCOPES:
+        scope.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def table_scope():
+    """Collect the tables written inside, so that a loop can drop them later."""
+    scope: list[str] = []
+    _OPEN_SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _OPEN_SCOPES.remove(scope)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables no later plan reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        target = hadoop(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

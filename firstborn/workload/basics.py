@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lbeta, lfactorial, lgamma, log_multivariate_beta, mvn_logpdf, mvt_logpdf
 from ..operators import checks, draws as dr, labels, order, prior, similarity, stats
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources import tables
 from .base import (
     CA, CW, DR, EA, EV, STICKS, TK, TU, UA, UW, TOPICS,
@@ -16,14 +16,6 @@ from .base import (
 )
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 # --- sources and sinks ------------------------------------------------------
 
 
@@ -53,7 +45,7 @@ def s3(spark, sf):
     rows = docs.join(first, ["lang", "source"]).select(
         F.col("doc_id").cast("string").alias("timestamp"), F.col("text").alias("tweet"), "cluster"
     )
-    path = scratch(spark, "clustering")
+    path = scratch_path(spark, "clustering")
     tables.write_clustering_csv(rows, path)
     back = tables.read_clustering_csv(spark, path)
     return back.select(
@@ -66,7 +58,7 @@ def s3(spark, sf):
 
 @query("s4_draws_sink", f"""WITH {DR} SELECT chain, iteration, obs, cluster FROM d WHERE iteration > 4 AND iteration % 4 = 0""")
 def s4(spark, sf):
-    path = scratch(spark, "draws")
+    path = scratch_path(spark, "draws")
     tables.append_draws(draws(spark, sf), path)
     kept = labels.keep_iterations(tables.read_draws(spark, path), 4, 4)
     return kept.select("chain", "iteration", "obs", "cluster")
