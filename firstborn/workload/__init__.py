@@ -1,4 +1,4 @@
-from . import basics, scores, summaries  # noqa: F401
+from . import basics, fits, scores, summaries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
