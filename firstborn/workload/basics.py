@@ -216,11 +216,11 @@ def a1(spark, sf):
     return labels.cluster_sizes(events(spark, sf))
 
 
-@query("a2_gaussian_stats", f"""WITH {EA} SELECT cluster, count(*) AS n_k, round(avg(value), 6) AS mean, round(sum(value * value), 4) AS sum_sq FROM ea GROUP BY 1""")
+@query("a2_gaussian_stats", f"""WITH {EA} SELECT cluster, count(*) AS n_k, round(avg(value), 10) AS mean, round(sum(value * value), 4) AS sum_sq FROM ea GROUP BY 1""")
 def a2(spark, sf):
     rows = events(spark, sf).withColumn("x", F.array("value"))
     out = stats.moments(rows)
-    return out.select("cluster", "n_k", r(F.col("mean")[0]).alias("mean"), r("sum_sq", 4).alias("sum_sq"))
+    return out.select("cluster", "n_k", r(F.col("mean")[0], 10).alias("mean"), r("sum_sq", 4).alias("sum_sq"))
 
 
 @query("a2_vector_stats", """WITH o AS (SELECT row_number() OVER (ORDER BY vec_id) AS obs, label, embedding FROM embeddings),

@@ -270,8 +270,8 @@ ex AS (SELECT k.series, k.o, k.c, k.l AS candidate,
   + ln((4.0::DOUBLE + tt.m - tt.k) / (4.5::DOUBLE + tt.m)) AS log_prior
   FROM l2 k JOIN l2 l USING (series, o) JOIN cmp USING (series, o) JOIN tt USING (series, o)
   GROUP BY k.series, k.o, k.c, k.l, k.a, k.b, k.n, cmp.comp, tt.m, tt.k),
-nw AS (SELECT e.series, e.o, e.c, e.o AS candidate, ln((1.5::DOUBLE + tt.k - 1) / (4.5::DOUBLE + tt.m)) + """ + lb("1.3::DOUBLE", "0.7::DOUBLE + comp") + f""" - {LB0} AS log_prior
-  FROM e JOIN cmp USING (series, o) JOIN tt USING (series, o)),
+nw AS (SELECT e.series, e.o, e.c, e.o AS candidate, CASE WHEN tt.k IS NULL THEN 0 ELSE ln((1.5::DOUBLE + tt.k - 1) / (4.5::DOUBLE + tt.m)) END + """ + lb("1.3::DOUBLE", "0.7::DOUBLE + comp") + f""" - {LB0} AS log_prior
+  FROM e JOIN cmp USING (series, o) LEFT JOIN tt USING (series, o)),
 sc AS (SELECT *, FALSE AS is_new FROM ex UNION ALL SELECT *, TRUE FROM nw)"""
 GS = f"""gs AS (SELECT series, cluster, count(*) AS n, sum(value) AS s FROM ua GROUP BY ALL),
 fs AS (SELECT sc.series, sc.o AS obs, sc.candidate, sc.is_new, log_prior + {gaussian_predictive_sql('e.value', "(CASE WHEN is_new THEN 0 ELSE gs.n - (sc.candidate = sc.c)::INT END)", "(CASE WHEN is_new THEN 0 ELSE gs.s - (CASE WHEN sc.candidate = sc.c THEN e.value ELSE 0 END) END)", *VP)} AS score
