@@ -14,37 +14,47 @@ SPREAD_AT = 6
 
 
 def all_partitions(series: DataFrame, by: Sequence[str], longest: int) -> DataFrame:
-    """Every set partition of 1..n for each series ``(by, n)``, as canonical label arrays.
+    """Every set partition of 1..n for each series ``(by, n)``.
 
     Each round appends one observation: it joins a label already present or
     opens its own.  The count grows as Bell numbers, so ``longest`` (the
     largest n present) is limited; rows are spread again halfway so that one
-    long series does not stay in one task.
+    long series does not stay in one task.  ``code`` packs the labels into one
+    integer, four bits each, which names the clustering exactly in later joins.
     """
     if longest > LONGEST:
         raise ValueError(f"exact enumeration is limited to {LONGEST} observations per series")
     one = F.lit(1).cast("bigint")
-    rows = series.select(*by, "n", F.array(one).alias("labels"))
+    rows = series.select(*by, "n", F.array(one).alias("labels"), one.alias("code"))
     for i in range(2, longest + 1):
         here = F.lit(i).cast("bigint")
-        choices = F.array_append(F.array_distinct("labels"), here)
+        open_round = F.col("n") >= i
         # A finished series keeps its row through a single no-op choice.
-        grown = rows.withColumn(
-            "_pick", F.explode(F.when(F.col("n") >= i, choices).otherwise(F.array(F.lit(0).cast("bigint"))))
+        choices = F.when(open_round, F.array_append(F.array_distinct("labels"), here)).otherwise(
+            F.array(F.lit(0).cast("bigint"))
+        )
+        rows = rows.withColumn("_pick", F.explode(choices)).select(
+            *by,
+            "n",
+            F.when(open_round, F.array_append("labels", F.col("_pick"))).otherwise(F.col("labels")).alias("labels"),
+            (F.col("code") + F.shiftleft("_pick", 4 * (i - 1))).alias("code"),
         )
-        rows = grown.withColumn(
-            "labels",
-            F.when(F.col("n") >= i, F.array_append("labels", F.col("_pick"))).otherwise(F.col("labels")),
-        ).drop("_pick")
         if i == SPREAD_AT:
-            rows = rows.repartition(*by, "labels")
+            rows = rows.repartition(*by, "code")
     return rows
 
 
+def code_labels(code: str = "code"):
+    """The label array packed in ``code``."""
+    packed = F.col(code)
+    digits = F.array(*[F.shiftright(packed, 4 * i).bitwiseAND(F.lit(15)) for i in range(LONGEST)])
+    return F.filter(digits, lambda v: v > 0)
+
+
 def partition_rows(partitions: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Label arrays to one row per observation; the array itself names the clustering."""
-    return partitions.select(*by, "labels", F.posexplode("labels").alias("_p", "cluster")).select(
-        *by, "labels", (F.col("_p") + 1).cast("bigint").alias("obs"), "cluster"
+    """Partitions to one row per observation, named by ``code``."""
+    return partitions.select(*by, "code", F.posexplode(code_labels()).alias("_p", "cluster")).select(
+        *by, "code", (F.col("_p") + 1).cast("bigint").alias("obs"), "cluster"
     )
 
 
@@ -68,9 +78,9 @@ def validation_table(
     exact: DataFrame, draws: DataFrame, by: Sequence[str], draws_per_chain: int
 ) -> DataFrame:
     """Exact probability against the sampled interval, one row per clustering."""
-    folded = partition_rows(exact.select(*by, "labels"), by)
-    sigs = signatures(folded, [*by, "labels"])
-    targets = exact.join(sigs, [*by, "labels"])
+    folded = partition_rows(exact.select(*by, "code"), by)
+    sigs = signatures(folded, [*by, "code"])
+    targets = exact.join(sigs, [*by, "code"])
     table = clustering_intervals(draws, targets, by, draws_per_chain)
     low, high = F.col("frequency") - F.col("half_width"), F.col("frequency") + F.col("half_width")
     return table.withColumn("covered", F.col("probability").between(low, high)).drop("sig_a", "sig_b")

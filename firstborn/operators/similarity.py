@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_reliably
 from .draws import DRAW
+from .joins import skew_join
 
 
 def observation_paths(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
@@ -24,26 +26,44 @@ def observation_paths(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataF
     return draws.groupBy(*by, "obs").agg(pairs.alias("path"))
 
 
+def observation_signatures(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
+    """An order-free 128-bit fingerprint of each observation's labels over the draws.
+
+    Folding hashes keeps one fixed-size row per observation in the shuffle,
+    however many draws there are.
+    """
+    one = F.bit_xor(F.xxhash64("iteration", "cluster"))
+    two = F.bit_xor(F.xxhash64(F.lit("second"), "cluster", "iteration"))
+    return draws.groupBy(*by, "obs").agg(one.alias("sig_a"), two.alias("sig_b"))
+
+
 def atoms(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
-    """One row per set of interchangeable observations: first member, size, labels."""
+    """One row per set of interchangeable observations: its first member and size."""
     return (
-        observation_paths(draws, by)
-        .groupBy(*by, "path")
+        observation_signatures(draws, by)
+        .groupBy(*by, "sig_a", "sig_b")
         .agg(F.min("obs").alias("atom"), F.count("*").alias("weight"))
     )
 
 
 def atom_members(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
-    paths = observation_paths(draws, by)
-    return paths.join(
-        paths.groupBy(*by, "path").agg(F.min("obs").alias("atom")), [*by, "path"]
-    ).select(*by, "obs", "atom")
+    signed = observation_signatures(draws, by)
+    keys = [*by, "sig_a", "sig_b"]
+    groups = signed.groupBy(*keys).agg(F.min("obs").alias("atom"), F.count("*").alias("weight"))
+    return skew_join(signed, groups, keys, size="weight", spread="obs").select(*by, "obs", "atom")
 
 
-def atom_draws(atom_rows: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
-    return atom_rows.select(*by, "atom", "weight", F.explode("path").alias("_d")).select(
-        *by, "atom", "weight", F.col("_d.iteration").alias("iteration"), F.col("_d.cluster").alias("cluster")
-    )
+def atom_draws(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
+    """The draws of each atom's first member, written once: all later work is atom-sized."""
+    firsts = atoms(draws, by).select(*by, F.col("atom").alias("obs"), "weight")
+    rows = draws.join(firsts, [*by, "obs"])
+    return persist_reliably(rows.select(*by, F.col("obs").alias("atom"), "weight", "iteration", "cluster"))
+
+
+def _atom_paths(draws: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each atom's labels in one array; its length is the number of draws."""
+    path = F.collect_list(F.struct("iteration", "cluster")).alias("path")
+    return persist_reliably(atom_draws(draws, by).groupBy(*by, "atom", "weight").agg(path))
 
 
 def co_occurrence(draws: DataFrame, by: Sequence[str] = ("chain",), weights: DataFrame | None = None) -> DataFrame:
@@ -53,7 +73,7 @@ def co_occurrence(draws: DataFrame, by: Sequence[str] = ("chain",), weights: Dat
     atom).  ``weights(by, iteration, w)`` weighs the draws; the divisor is the
     total weight, which is the matrix maximum.
     """
-    rows = atom_draws(atoms(draws, by), by)
+    rows = atom_draws(draws, by)
     if weights is None:
         total = draws.select(*by, "iteration").distinct().groupBy(*by).agg(
             F.count("*").cast("double").alias("_total")
@@ -144,13 +164,12 @@ def ari_over_draws(truth: DataFrame, draws: DataFrame, by: Sequence[str] = DRAW)
     return adjusted_rand(contingency(left, right, ["obs"], by), by)
 
 
-def _draw_cells(draws: DataFrame, by: Sequence[str]) -> DataFrame:
+def _draw_cells(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Cell counts of every ordered pair of draws, from weighted atoms.
 
     Each atom pairs its own labels (draws x draws values), so nothing is
     joined on a draw or a cluster.
     """
-    rows = atoms(draws, by)
     crossed = rows.select(*by, "weight", "path", F.explode("path").alias("_c")).select(
         *by, "weight", "_c", F.explode("path").alias("_d")
     )
@@ -169,7 +188,7 @@ def binder_losses(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame
     def chosen(c):
         return c * (c - 1) / 2.0
 
-    cells = _draw_cells(draws, by)
+    cells = persist_reliably(_draw_cells(_atom_paths(draws, by), by))
     within = cells.filter(F.col("iteration") == F.col("other")).groupBy(*by, "iteration").agg(
         F.sum(chosen(F.col("cell"))).alias("_pairs")
     )
@@ -190,8 +209,8 @@ def information_losses(draws: DataFrame, by: Sequence[str] = ("chain",)) -> Data
     Per observation: log2 of its own cluster's size, plus log2 of its mean
     cluster size over draws, minus twice log2 of its mean overlap.
     """
-    rows = atoms(draws, by)
-    cells = _draw_cells(draws, by)
+    rows = _atom_paths(draws, by)
+    cells = _draw_cells(rows, by)
     crossed = (
         rows.select(*by, "atom", "weight", "path", F.explode("path").alias("_c"))
         .select(*by, "atom", "weight", "_c", F.explode("path").alias("_d"))

@@ -321,13 +321,13 @@ def _partitions(spark, sf):
 def _exact(spark, sf):
     rows, parts = _partitions(spark, sf)
     pairs = exact.partition_rows(parts, ["series"]).join(rows.drop("cluster"), ["series", "obs"])
-    scored = lk.joint_score(pairs, LENGTHS, STICKS, ["series", "labels"], levels=1)
+    scored = lk.joint_score(pairs, LENGTHS, STICKS, ["series", "code"], levels=1)
     return exact.exact_posterior(scored, ["series"])
 
 
 
 def label_text():
-    return F.concat_ws("-", F.transform("labels", lambda v: v.cast("string"))).alias("labels")
+    return F.concat_ws("-", F.transform(exact.code_labels(), lambda v: v.cast("string"))).alias("labels")
 
 
 

@@ -38,8 +38,11 @@ def test_exact_posterior_is_invariant(spark, model, law, settings):
     rows = exact.partition_rows(exact.all_partitions(series, ["series"], 4), ["series"])
     if model is NORMAL:
         rows = rows.join(whiten(points, model), "obs")
-    scored = lk.joint_score(rows, model, law, ["series", "labels"], terms, ["obs"], levels=1)
-    probability = {tuple(r.labels): r.probability for r in exact.exact_posterior(scored, ["series"]).collect()}
+    scored = lk.joint_score(rows, model, law, ["series", "code"], terms, ["obs"], levels=1)
+    probability = {
+        tuple(r.labels): r.probability
+        for r in exact.exact_posterior(scored, ["series"]).withColumn("labels", exact.code_labels()).collect()
+    }
     keys = list(probability)
     p = np.array([probability[k] for k in keys])
     picks = np.random.default_rng(1).choice(len(keys), COPIES, p=p / p.sum())

@@ -26,8 +26,8 @@ def partitions(spark, n):
 def test_partition_priors_sum_to_one(spark, n, bell, law):
     parts = partitions(spark, n)
     rows = exact.partition_rows(parts, ["series"])
-    sizes = rows.groupBy("labels", "cluster").agg(F.count("*").alias("n_k"))
-    scores = [r.assignment_score for r in prior.assignment_score(sizes, law, ["labels"]).collect()]
+    sizes = rows.groupBy("code", "cluster").agg(F.count("*").alias("n_k"))
+    scores = [r.assignment_score for r in prior.assignment_score(sizes, law, ["code"]).collect()]
     assert len(scores) == bell
     assert sum(math.exp(s) for s in scores) == pytest.approx(1.0, abs=1e-10)
 
@@ -38,7 +38,7 @@ def test_leave_one_out_equals_joint_ratios(spark, law):
     model = GaussianModel([[0.5]], [0.2], [[1.5]])
     xs = [0.3, -0.9, 1.1, -0.4, 2.0]
     points = spark.createDataFrame([(i + 1, [x]) for i, x in enumerate(xs)], "obs bigint, x array<double>")
-    rows = exact.partition_rows(partitions(spark, 5), ["series"]).withColumn("key", F.concat_ws("-", F.transform("labels", lambda v: v.cast("string"))))
+    rows = exact.partition_rows(partitions(spark, 5), ["series"]).withColumn("key", F.concat_ws("-", F.transform(exact.code_labels(), lambda v: v.cast("string"))))
     rows = rows.join(whiten(points, model), "obs").select("key", "obs", "cluster", "y")
     joint = {
         tuple(map(int, r.key.split("-"))): r.joint_score
