@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import skew_join
+
 DRAW = ("chain", "iteration")
 
 
@@ -46,30 +48,45 @@ def fixed_histogram(rows: DataFrame, value: str, edges: Sequence[float], by: Seq
 
 def equal_width_histogram(rows: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFrame:
     """``bins`` equal cells over each group's own range, the top cell closed."""
-    span = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = rows.groupBy(*by).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_rows")
+    )
+    spread = [c for c in rows.columns if c not in by]
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     cell = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.lit(bins), (F.floor((F.col(value) - F.col("_lo")) / width) + 1).cast("int"))
     )
-    return rows.join(span, list(by)).groupBy(*by, cell.alias("bin")).agg(F.count("*").alias("cnt"))
+    placed = skew_join(rows, span, by, size="_rows", spread=spread)
+    return placed.groupBy(*by, cell.alias("bin")).agg(F.count("*").alias("cnt"))
+
+
+def _tops(rows: DataFrame, log_weight: str, by: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.max(log_weight).alias("_top"), F.count("*").alias("_rows"))
 
 
 def normalised_weights(rows: DataFrame, log_weight: str, by: Sequence[str], name: str = "weight") -> DataFrame:
     """Softmax within each group, shifted by its maximum.
 
-    Maximum and sum are aggregates joined back: a window would hold a whole
-    group in one task.
+    Maximum and sum are aggregates joined back, with large groups split: a
+    window would hold a whole group in one task.
     """
-    top = rows.groupBy(*by).agg(F.max(log_weight).alias("_top"))
-    shifted = rows.join(top, list(by)).withColumn("_w", F.exp(F.col(log_weight) - F.col("_top")))
-    mass = shifted.groupBy(*by).agg(F.sum("_w").alias("_mass"))
-    return shifted.join(mass, list(by)).withColumn(name, F.col("_w") / F.col("_mass")).drop("_top", "_w", "_mass")
+    spread = [c for c in rows.columns if c not in by]
+    top = _tops(rows, log_weight, by)
+    weight = F.exp(F.col(log_weight) - F.col("_top"))
+    mass = (
+        skew_join(rows, top, by, size="_rows", spread=spread)
+        .groupBy(*by, "_top", "_rows")
+        .agg(F.sum(weight).alias("_mass"))
+    )
+    joined = skew_join(rows, mass, by, size="_rows", spread=spread)
+    return joined.withColumn(name, weight / F.col("_mass")).drop("_top", "_mass", "_rows")
 
 
 def effective_size(rows: DataFrame, log_weight: str, by: Sequence[str]) -> DataFrame:
-    top = rows.groupBy(*by).agg(F.max(log_weight).alias("_top"))
+    spread = [c for c in rows.columns if c not in by]
     w = F.exp(F.col(log_weight) - F.col("_top"))
-    return rows.join(top, list(by)).groupBy(*by).agg((F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"))
+    joined = skew_join(rows, _tops(rows, log_weight, by), by, size="_rows", spread=spread)
+    return joined.groupBy(*by).agg((F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"))
 
 
 def signatures(draws: DataFrame, by: Sequence[str] = DRAW) -> DataFrame:

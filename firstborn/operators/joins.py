@@ -15,13 +15,13 @@ def skew_join(
     groups: DataFrame,
     on: Sequence[str],
     size: str,
-    spread: str,
+    spread: str | Sequence[str],
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Join ``rows`` to ``groups``, splitting the groups that hold many rows.
 
-    ``size`` is the number of ``rows`` in the group, the same on every
+    ``size`` is the number (or a bound) of ``rows`` in the group, the same on every
     ``groups`` row of one key.  Only groups above ``rows_per_salt``
     rows are salted: there are at most ``n / rows_per_salt`` of them, which
     bounds the broadcast list of hot keys.  Their group rows are repeated once
@@ -34,7 +34,7 @@ def skew_join(
         rows.join(F.broadcast(hot), on, "left")
         .withColumn(
             "_salt",
-            F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int"),
+            F.coalesce(F.pmod(F.xxhash64(*([spread] if isinstance(spread, str) else spread)), F.col("_salts")), F.lit(0)).cast("int"),
         )
         .drop("_salts")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import constant_at, lgamma, vector_sum
 from ..models import CountModel, GaussianModel, TopicModel
+from .joins import skew_join
 from .prior import assignment_score
 from .stats import count_stats, gaussian_stats
 
@@ -126,7 +127,11 @@ def dirichlet_predictive(
         F.sum("cnt").alias("_total")
     )
     own = F.col("cluster") == F.col("candidate")
-    pairs = candidates.join(base, [*by, "obs"], "left").join(totals, [*by, "candidate"], "left")
+    # How often each cluster is a candidate decides how its rows are split.
+    load = candidates.groupBy(*by, "candidate").agg(F.count("*").alias("_load"))
+    totals = load.join(totals, [*by, "candidate"], "left")
+    pairs = candidates.join(base, [*by, "obs"], "left")
+    pairs = skew_join(pairs, totals, [*by, "candidate"], size="_load", spread="obs").drop("_load")
     pairs = pairs.withColumns(
         {
             "_size": F.coalesce("_size", F.lit(0)),
@@ -137,11 +142,12 @@ def dirichlet_predictive(
     held = F.col("cnt_k")
     if leave_out:
         held = held - F.when(own, F.col("cnt")).otherwise(F.lit(0))
+    held_terms = cluster_terms.select(
+        *by, F.col("cluster").alias("candidate"), "term", F.col("cnt").alias("cnt_k")
+    ).join(load, [*by, "candidate"])
     both = (
-        candidates.join(terms, [*by, "obs"])
-        .join(
-            cluster_terms.select(*by, F.col("cluster").alias("candidate"), "term", F.col("cnt").alias("cnt_k")),
-            [*by, "candidate", "term"],
+        skew_join(
+            candidates.join(terms, [*by, "obs"]), held_terms, [*by, "candidate", "term"], size="_load", spread="obs"
         )
         .withColumn("_held", held)
         .filter(F.col("_held") > 0)

@@ -50,8 +50,8 @@ def candidate_pairs(
     (``extra``) along, so the observation x cluster table is never joined again.
     """
     keep = [*by, "obs", "cluster", "single", *carry]
-    total = clusters.groupBy(*by).agg(F.sum("n_k").alias("_rows"))
-    sized = clusters.join(total, list(by)).select(
+    total = clusters.groupBy(*by).agg(F.sum("n_k").alias("_rows"), F.count("*").alias("_clusters"))
+    sized = skew_join(clusters, total, by, size="_clusters", spread="cluster").select(
         *by, F.col("cluster").alias("candidate"), *extra, "_rows"
     )
     joined = skew_join(rows, sized, by, size="_rows", spread="obs")
@@ -164,7 +164,7 @@ def prior_scores(
     paths = persist_reliably(_cluster_paths(sizes, prior, by))
     points = _position_paths(assignments, paths, by)
     shape = sizes.groupBy(*by).agg(F.sum("n_k").alias("_n"), F.count("*").alias("_k"))
-    own = paths.join(shape, list(by)).select(
+    own = skew_join(paths, shape, by, size="_k", spread="cluster").select(
         *by,
         "cluster",
         F.col("path").alias("own_path"),

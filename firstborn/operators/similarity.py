@@ -16,6 +16,8 @@ from ..session import persist_reliably
 from .draws import DRAW
 from .joins import skew_join
 
+ATOMS_PER_STRIP = 1 << 12
+
 
 def observation_paths(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
     """Each observation's cluster in every draw, as one array ordered by iteration.
@@ -74,19 +76,26 @@ def co_occurrence(draws: DataFrame, by: Sequence[str] = ("chain",), weights: Dat
     total weight, which is the matrix maximum.
     """
     rows = atom_draws(draws, by)
-    if weights is None:
-        total = draws.select(*by, "iteration").distinct().groupBy(*by).agg(
-            F.count("*").cast("double").alias("_total")
-        )
-        rows = rows.withColumn("w", F.lit(1.0))
-    else:
-        total = weights.groupBy(*by).agg(F.sum("w").alias("_total"))
-        rows = rows.join(weights, [*by, "iteration"])
-    left = rows.select(*by, "iteration", "cluster", "w", F.col("atom").alias("atom_a"), F.col("weight").alias("size_a"))
-    right = rows.select(*by, "iteration", "cluster", F.col("atom").alias("atom_b"), F.col("weight").alias("size_b"))
-    pairs = left.join(right, [*by, "iteration", "cluster"]).filter(F.col("atom_a") <= F.col("atom_b"))
-    summed = pairs.groupBy(*by, "atom_a", "size_a", "atom_b", "size_b").agg(F.sum("w").alias("_w"))
-    return summed.join(total, list(by)).withColumn("p", F.col("_w") / F.col("_total")).drop("_w", "_total")
+    draw = [*by, "iteration"]
+    per_draw = rows.groupBy(*draw).agg(F.count("*").alias("_rows"))
+    per_draw = per_draw.withColumn("w", F.lit(1.0)) if weights is None else per_draw.join(weights, draw)
+    total = per_draw.groupBy(*by).agg(F.sum("w").alias("_total"))
+    share = per_draw.join(total, list(by)).select(*draw, "_rows", (F.col("w") / F.col("_total")).alias("_share"))
+    left = skew_join(
+        rows.select(*draw, "cluster", F.col("atom").alias("atom_a"), F.col("weight").alias("size_a")),
+        share,
+        draw,
+        size="_rows",
+        spread="atom_a",
+    ).drop("_rows")
+    # A cluster of m atoms yields m^2 / 2 pairs, so large ones are cut into strips.
+    width = rows.groupBy(*draw, "cluster").agg(F.count("*").alias("_atoms"))
+    right = rows.select(*draw, "cluster", F.col("atom").alias("atom_b"), F.col("weight").alias("size_b"))
+    right = right.join(width, [*draw, "cluster"])
+    pairs = skew_join(
+        left, right, [*draw, "cluster"], size="_atoms", spread="atom_a", rows_per_salt=ATOMS_PER_STRIP
+    ).filter(F.col("atom_a") <= F.col("atom_b"))
+    return pairs.groupBy(*by, "atom_a", "size_a", "atom_b", "size_b").agg(F.sum("_share").alias("p"))
 
 
 def pair_similarity(draws: DataFrame, pairs: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:

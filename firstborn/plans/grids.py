@@ -13,6 +13,7 @@ from ..functions.special import lbeta, lgamma
 from ..models import StickArrivalPrior
 from ..operators.choice import gumbel_choice, key_of
 from ..operators.draws import normalised_weights
+from ..operators.joins import skew_join
 from ..operators.prior import arrival_columns, complement_counts, partition_shape
 
 
@@ -60,11 +61,14 @@ def stick_grid(
     a, b = F.col("psi_a"), F.col("psi_b")
     gain = lbeta(a + F.col("n_k") - 1.0, b + F.col("comp")) - lbeta(a, b)
     scored = (
-        base.join(merged, list(by), "left")
-        .groupBy(*by, "cell", "psi_a", "psi_b")
-        .agg(F.sum(F.coalesce(F.col("_times") * gain, F.lit(0.0))).alias("_score"))
+        skew_join(merged, base, by, size="k", spread=["n_k", "comp"])
+        .groupBy(*by, "cell")
+        .agg(F.sum(F.col("_times") * gain).alias("_score"))
     )
-    weighted = scored.withColumn("log_weight", F.col("_score") + F.ln(a) + F.ln(b)).drop("_score")
+    # A partition of one cluster has no stick and keeps the prior weight.
+    weighted = base.join(scored, [*by, "cell"], "left").withColumn(
+        "log_weight", F.coalesce("_score", F.lit(0.0)) + F.ln(a) + F.ln(b)
+    ).drop("_score", "n", "k")
     return normalised_weights(weighted, "log_weight", by, "probability")
 
 
