@@ -11,13 +11,13 @@ from check import compare, connect
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "flagship_stick_posteriors", "s1_series_observations", "s2_document_terms", "s3_clustering_csv",
-    "s4_draws_sink", "s5_wide_frame", "p2_one_hot_dense", "p4_contiguous_labels", "p7_input_checks",
-    "f2_lbeta", "a2_vector_stats", "a3_count_stats", "a4_cluster_topics", "a7_fixed_histogram",
-    "a11_batch_standard_error", "a14_arrival_classes", "w3_log_pmf_triangle", "w6_moved_labels",
-    "w7_neighbour_candidates", "m9_topic_marginal", "m14_joint_score", "m15_existing_predictive",
-    "m18_leave_one_out", "m21_validation_table", "t1_map_clustering", "t3_gumbel_resample",
-    "ps1_weighted_co_occurrence", "ps2_binder_estimate", "ps3_information_losses", "ps4_rand_over_draws",
-    "j1_co_assignment", "j4_younger_clusters_between", "g1_recent_random_start", "g5_stick_posterior",
+    "s5_wide_frame", "p2_one_hot_dense", "p7_input_checks",
+    "a4_cluster_topics", "a7_fixed_histogram",
+    "a11_batch_standard_error", "w3_log_pmf_triangle", "w6_moved_labels",
+    "w7_neighbour_candidates", "m14_joint_score",
+    "m18_leave_one_out", "m21_validation_table", "t3_gumbel_resample",
+    "ps1_weighted_co_occurrence", "ps3_information_losses", "ps4_rand_over_draws",
+    "j4_younger_clusters_between", "g1_recent_random_start",
 ]
 
 
