@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
+from .mixing import mix, taken_words, word_sizes
 from .piece_codec import digests, encode_pieces
 from .token_counts import token_counts
 from .token_files import read_token_checksums, write_token_files
@@ -33,3 +34,9 @@ def op6_token_files(spark, sf):
 def op8_piece_codec(spark, sf):
     path = public_tokenizers.path("piece_bpe_32k.model")
     return digests(encode_pieces(table(spark, sf, "documents"), path), path)
+
+
+@query("op1_source_mixing")
+def op1_source_mixing(spark, sf):
+    sizes = persist_reliably(word_sizes(table(spark, sf, "documents")))
+    return taken_words(*mix(sizes))
