@@ -9,11 +9,15 @@ from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
 from .mixing import mix, taken_words, word_sizes
 from .piece_codec import digests, encode_pieces
+from .quality import fit_quality, held_out, score_quality
 from .token_counts import token_counts
 from .token_files import read_token_checksums, write_token_files
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: Documents that score less are of low quality.
+QUALITY_KEPT = 0.3
+
 
 @query("op4_token_counts")
 def op4_token_counts(spark, sf):
@@ -40,3 +44,12 @@ def op8_piece_codec(spark, sf):
 def op1_source_mixing(spark, sf):
     sizes = persist_reliably(word_sizes(table(spark, sf, "documents")))
     return taken_words(*mix(sizes))
+
+
+@query("op3_quality_scores")
+def op3_quality_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    scores = score_quality(docs, fit_quality(docs, table(spark, sf, "labels")))
+    return scores.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted")
+    )
