@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
 from .mixing import mix, taken_words, word_sizes
+from .outliers import quality_rules
 from .piece_codec import digests, encode_pieces
 from .quality import fit_quality, held_out, score_quality
 from .token_counts import token_counts
@@ -53,3 +54,10 @@ def op3_quality_scores(spark, sf):
     return scores.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= QUALITY_KEPT).cast("int").alias("predicted")
     )
+
+
+@query("op7_robust_outliers")
+def op7_robust_outliers(spark, sf):
+    return quality_rules(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
