@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
+from .line_dedup import dedup_lines
 from .mixing import mix, taken_words, word_sizes
 from .outliers import quality_rules
 from .piece_codec import digests, encode_pieces
@@ -61,3 +62,11 @@ def op7_robust_outliers(spark, sf):
     return quality_rules(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select(
+        "doc_id", F.size(F.split("text", "\n")).alias("n_lines_kept"), F.col("removed").alias("n_removed"), F.md5("text").alias("kept_md5")
+    )
