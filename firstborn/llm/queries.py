@@ -9,6 +9,7 @@ from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
 from .line_dedup import dedup_lines
 from .mixing import mix, taken_words, word_sizes
+from .near_dedup import near_duplicates
 from .outliers import quality_rules
 from .piece_codec import digests, encode_pieces
 from .quality import fit_quality, held_out, score_quality
@@ -70,3 +71,8 @@ def op9_line_dedup(spark, sf):
     return dedup_lines(docs).select(
         "doc_id", F.size(F.split("text", "\n")).alias("n_lines_kept"), F.col("removed").alias("n_removed"), F.md5("text").alias("kept_md5")
     )
+
+
+@query("op2_near_dedup")
+def op2_near_dedup(spark, sf):
+    return near_duplicates(table(spark, sf, "documents")).drop("tie")
