@@ -15,6 +15,7 @@ from .piece_codec import digests, encode_pieces
 from .quality import fit_quality, held_out, score_quality
 from .token_counts import token_counts
 from .token_files import read_token_checksums, write_token_files
+from .vector_dedup import link_vectors
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -76,3 +77,8 @@ def op9_line_dedup(spark, sf):
 @query("op2_near_dedup")
 def op2_near_dedup(spark, sf):
     return near_duplicates(table(spark, sf, "documents")).drop("tie")
+
+
+@query("op10_vector_dedup")
+def op10_vector_dedup(spark, sf):
+    return link_vectors(table(spark, sf, "embeddings"))
