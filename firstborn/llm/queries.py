@@ -13,6 +13,7 @@ from .near_dedup import near_duplicates
 from .outliers import quality_rules
 from .piece_codec import digests, encode_pieces
 from .quality import fit_quality, held_out, score_quality
+from .suffix_dedup import repeated_spans
 from .token_counts import token_counts
 from .token_files import read_token_checksums, write_token_files
 from .vector_dedup import link_vectors
@@ -82,3 +83,10 @@ def op2_near_dedup(spark, sf):
 @query("op10_vector_dedup")
 def op10_vector_dedup(spark, sf):
     return link_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf):
+    return repeated_spans(table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256")
+    )
