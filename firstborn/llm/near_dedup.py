@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_reliably
-from .common import partitions, whole_text
+from .common import SPACES, whole_text
 from .components import components
 
 SHINGLE = 5
@@ -262,13 +262,15 @@ def keep_first_of_group(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) ->
     component's id, leave one row; null ids come last.
     """
     names = docs.columns
-    judged = near_duplicates(docs, ratio)
-    # One row per component is kept: its least (doc_id, tie), and one of equal rows.
-    with_set = judged.filter("n_shingles > 0 and kept").groupBy("component_id").agg(F.min("tie").alias("tie"))
-    firsts = with_set.select(F.col("component_id").alias("_doc"), F.col("tie").alias("_tie")).withColumn("_set", F.lit(True))
-    keyed = docs.withColumn("_key", F.xxhash64(whole_text()))
-    blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    chosen = keyed.filter(~blank).join(
-        firsts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_tie")), "left_semi"
+    judged = near_duplicates(docs, ratio).filter("n_shingles > 0 and kept")
+    # Of the rows with the component's id, those with the least hash of the text.
+    firsts = judged.groupBy("component_id", "tie").agg(F.count("*").alias("_rows")).groupBy("component_id").agg(
+        F.min(F.struct(F.col("tie").alias("_tie"), "_rows")).alias("f")
     )
-    return chosen.dropDuplicates(["doc_id", "_key"]).select(*names).unionByName(docs.filter(blank))
+    firsts = persist_reliably(firsts.select(F.col("component_id").alias("_doc"), "f.*"))
+    keyed = docs.withColumn("_key", F.xxhash64(whole_text()))
+    blank = F.btrim(whole_text(), F.lit(SPACES)) == ""
+    chosen = keyed.filter(~blank).join(firsts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_tie")))
+    once = chosen.filter("_rows = 1").select(*names)
+    repeated = chosen.filter("_rows > 1").dropDuplicates(["doc_id", "_key"]).select(*names)
+    return once.unionByName(repeated).unionByName(docs.filter(blank))
