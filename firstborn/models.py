@@ -14,8 +14,20 @@ START_TYPES = ("random", "all same cluster", "all different clusters")
 
 
 def _positive_pair(name: str, pair) -> None:
-    if len(pair) != 2 or min(pair) <= 0:
-        raise ValueError(f"{name} needs two positive parameters")
+    if len(pair) != 2 or not all(0 < v < math.inf for v in pair):
+        raise ValueError(f"{name}: give two finite numbers above zero, not {pair}")
+
+
+def _positive(name: str, *values: float) -> None:
+    if not all(0 < v < math.inf for v in values):
+        raise ValueError(f"{name} must be finite and above zero")
+
+
+def _covariance(name: str, matrix: np.ndarray, dim: int) -> None:
+    if matrix.shape != (dim, dim):
+        raise ValueError(f"{name} is {matrix.shape}, but the prior mean has {dim} entries")
+    if not np.isfinite(matrix).all() or not np.allclose(matrix, matrix.T) or np.linalg.eigvalsh(matrix)[0] <= 0:
+        raise ValueError(f"{name} must be finite, symmetric and positive definite")
 
 
 @dataclass(frozen=True)
@@ -34,10 +46,10 @@ class GaussianModel:
         data = np.atleast_2d(np.asarray(self.data_covariance, dtype=float))
         prior = np.atleast_2d(np.asarray(self.prior_covariance, dtype=float))
         mean = np.atleast_1d(np.asarray(self.prior_mean, dtype=float))
-        if data.shape != prior.shape:
-            raise ValueError("data and prior covariance must have the same dimension")
-        if prior.shape != (mean.size, mean.size):
-            raise ValueError("prior mean must match each dimension of the prior covariance")
+        if not np.isfinite(mean).all():
+            raise ValueError("the prior mean must be finite")
+        _covariance("data_covariance", data, mean.size)
+        _covariance("prior_covariance", prior, mean.size)
         # One change of basis makes the data covariance the identity and the
         # prior covariance diagonal, so every later formula is per dimension.
         inverse = np.linalg.inv(np.linalg.cholesky(data))
@@ -67,18 +79,12 @@ class CountModel:
 
     dim: int
     scale: float | Mapping[str, float] = 1.0
-    counts_per_observation: int = 1
 
     def __post_init__(self):
-        if self.dim < 2:
-            raise ValueError("the Dirichlet prior needs dimension at least 2")
-        values = self.scale.values() if isinstance(self.scale, Mapping) else [self.scale]
-        if any(v <= 0 for v in values):
-            raise ValueError("every Dirichlet scale must be greater than 0")
-        if isinstance(self.scale, Mapping) and len(self.scale) != self.dim:
-            raise ValueError("one Dirichlet scale per term is needed")
-        if self.counts_per_observation <= 0:
-            raise ValueError("counts per observation must be greater than 0")
+        per_term = isinstance(self.scale, Mapping)
+        _positive("scale", *(self.scale.values() if per_term else [self.scale]))
+        if self.dim < 2 or per_term and len(self.scale) != self.dim:
+            raise ValueError(f"dim={self.dim} must be 2 or more and the number of terms in scale")
 
     @property
     def total(self) -> float:
@@ -90,7 +96,8 @@ class CountModel:
         if not isinstance(self.scale, Mapping):
             return F.lit(float(self.scale))
         pairs = [F.lit(v) for item in self.scale.items() for v in (item[0], float(item[1]))]
-        return F.create_map(*pairs)[term]
+        unknown = F.raise_error(F.concat(F.lit("no Dirichlet scale for term "), term.cast("string"))).cast("double")
+        return F.coalesce(F.create_map(*pairs)[term], F.when(term.isNotNull(), unknown))
 
 
 @dataclass(frozen=True)
@@ -103,10 +110,9 @@ class TopicModel:
     word_parameter: float = 0.1
 
     def __post_init__(self):
-        if self.num_topics < 2 or self.num_words < 2:
-            raise ValueError("the Dirichlet prior needs dimension at least 2")
-        if self.topic_parameter <= 0 or self.word_parameter <= 0:
-            raise ValueError("every Dirichlet scale must be greater than 0")
+        if min(self.num_topics, self.num_words) < 2:
+            raise ValueError("a topic model has at least two topics and two words")
+        _positive("topic_parameter and word_parameter", self.topic_parameter, self.word_parameter)
 
     def topics_as_counts(self) -> CountModel:
         return CountModel(self.num_topics, self.topic_parameter)
@@ -119,7 +125,6 @@ class StickArrivalPrior:
     sticks: tuple[float, float] = (1.0, 1.0)
     arrivals: tuple[float, float] = (1.0, 1.0)
     sample_sticks: bool = False
-    sample_arrivals: bool = False
 
     def __post_init__(self):
         _positive_pair("sticks", self.sticks)
@@ -142,8 +147,7 @@ class DirichletProcessPrior:
     sample_alpha: bool = False
 
     def __post_init__(self):
-        if self.alpha <= 0:
-            raise ValueError("alpha must be greater than 0")
+        _positive("alpha", self.alpha)
 
 
 @dataclass(frozen=True)
@@ -157,12 +161,8 @@ class SamplerSettings:
     seed: int = 1
 
     def __post_init__(self):
-        if self.iterations < 1:
-            raise ValueError("the number of iterations must be positive")
-        if self.burn_in < 0:
-            raise ValueError("the number of burn-in iterations must not be negative")
-        if self.skip < 1:
-            raise ValueError("skip must be positive")
+        if self.iterations < 1 or self.skip < 1 or self.burn_in < 0:
+            raise ValueError("iterations and skip start at 1, burn_in at 0")
         if any(s not in START_TYPES for s in self.starts):
             raise ValueError(f"a start must be one of {START_TYPES}")
 

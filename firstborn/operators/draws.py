@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_reliably
 from .joins import skew_join
 
 DRAW = ("chain", "iteration")
@@ -68,8 +69,10 @@ def normalised_weights(rows: DataFrame, log_weight: str, by: Sequence[str], name
     """Softmax within each group, shifted by its maximum.
 
     Maximum and sum are aggregates joined back, with large groups split: a
-    window would hold a whole group in one task.
+    window would hold a whole group in one task.  The rows are read several times,
+    so they are written once: what computes them runs once.
     """
+    rows = persist_reliably(rows)
     spread = [c for c in rows.columns if c not in by]
     top = _tops(rows, log_weight, by)
     weight = F.exp(F.col(log_weight) - F.col("_top"))
@@ -83,6 +86,7 @@ def normalised_weights(rows: DataFrame, log_weight: str, by: Sequence[str], name
 
 
 def effective_size(rows: DataFrame, log_weight: str, by: Sequence[str]) -> DataFrame:
+    rows = persist_reliably(rows)
     spread = [c for c in rows.columns if c not in by]
     w = F.exp(F.col(log_weight) - F.col("_top"))
     joined = skew_join(rows, _tops(rows, log_weight, by), by, size="_rows", spread=spread)
@@ -112,19 +116,22 @@ def clustering_frequencies(sigs: DataFrame, by: Sequence[str]) -> DataFrame:
 def batch_standard_errors(sigs: DataFrame, targets: DataFrame, by: Sequence[str], draws_per_chain: int) -> DataFrame:
     """Batch-means standard error of each target clustering's frequency.
 
-    Iterations must run 1..T.  Batches of floor(sqrt T); at most
-    ceil(sqrt T) of them, all inside the chain.  Only hits are joined: a batch
-    without a hit contributes 0 to the sums.
+    Iterations must run 1..T.  At most ceil(sqrt T) batches of floor(sqrt T) draws
+    or one more, so that every draw is in one.  Only hits are joined: a batch without
+    a hit contributes 0 to the sums.
     """
-    length = math.isqrt(draws_per_chain)
-    batches = min(math.ceil(math.sqrt(draws_per_chain)), draws_per_chain // length)
+    least = math.isqrt(draws_per_chain)
+    batches = min(math.ceil(math.sqrt(draws_per_chain)), draws_per_chain // least)
+    length = draws_per_chain / batches
     keys = [*by, "sig_a", "sig_b"]
-    batch = F.floor((F.col("iteration") - 1) / F.lit(length))
+    batch = F.floor((F.col("iteration") - 1) * batches / F.lit(draws_per_chain))
+    held = F.ceil((F.col("_batch") + 1) * draws_per_chain / F.lit(batches)) - F.ceil(
+        F.col("_batch") * draws_per_chain / F.lit(batches)
+    )
     hits = (
         sigs.withColumn("_batch", batch)
-        .filter(F.col("_batch") < batches)
         .groupBy(*keys, "_batch")
-        .agg((F.count("*") / F.lit(length)).alias("_p"))
+        .agg((F.count("*") / held).alias("_p"))
         .groupBy(*keys)
         .agg(F.sum("_p").alias("_s1"), F.sum(F.col("_p") * F.col("_p")).alias("_s2"))
     )

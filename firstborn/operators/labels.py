@@ -45,10 +45,18 @@ def one_hot(assignments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return assignments.select(*by, "cluster", "obs", F.lit(1).cast("bigint").alias("value"))
 
 
-def one_hot_dense(assignments: DataFrame, clusters: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """One 0/1 column per listed cluster; the list keeps the pivot free of a scan."""
-    flags = [(F.col("cluster") == c).cast("bigint").alias(f"c{c}") for c in clusters]
-    return assignments.select(*by, "obs", *flags)
+def one_hot_dense(assignments: DataFrame, most: int, by: Sequence[str] = ()) -> DataFrame:
+    """One 0/1 column c1, c2, ... per arrival rank, for every cluster of a series.
+
+    ``most`` is the largest number of clusters a series can have; a cluster of a higher rank
+    is an error, never a row of zeros.
+    """
+    ranked = contiguous_labels(assignments, by)
+    rank = F.when(F.col("rank") <= most, F.col("rank")).otherwise(
+        F.raise_error(F.lit(f"a series has more than {most} clusters")).cast("bigint")
+    )
+    flags = [(F.col("_rank") == c).cast("bigint").alias(f"c{c}") for c in range(1, most + 1)]
+    return ranked.select(*by, "obs", rank.alias("_rank")).select(*by, "obs", *flags)
 
 
 def cluster_ranks(sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:

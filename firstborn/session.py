@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-_OPEN_SCOPES: list[list[str]] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("table_scope", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -62,20 +63,26 @@ def persist_reliably(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.option("compression", "lz4").parquet(path)
-    for scope in _OPEN_SCOPES:
+    if (scope := _SCOPE.get()) is not None:
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def table_scope():
-    """Collect the tables written inside, so that a loop can drop them later."""
-    scope: list[str] = []
-    _OPEN_SCOPES.append(scope)
+    """Collect the tables written inside, so that a loop can drop them later.
+
+    Only the innermost scope of the same thread of control sees a table; what an inner
+    scope leaves belongs to the outer one afterwards.
+    """
+    outer, scope = _SCOPE.get(), []
+    token = _SCOPE.set(scope)
     try:
         yield scope
     finally:
-        _OPEN_SCOPES.remove(scope)
+        _SCOPE.reset(token)
+        if outer is not None:
+            outer.extend(scope)
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:

@@ -54,6 +54,10 @@ def long_values(observations: DataFrame) -> DataFrame:
     return observations.select("obs", "cluster", F.posexplode("x").alias("dim", "value"))
 
 
+#: Stands for a null text in a clustering file, where an empty text is an empty field.
+NULL_TEXT = "\\N"
+
+
 def read_clustering_csv(spark: SparkSession, path: str) -> DataFrame:
     """A clustering result: timestamp, quoted multi-line text, cluster."""
     return (
@@ -62,6 +66,10 @@ def read_clustering_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", NULL_TEXT)
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
@@ -74,16 +82,17 @@ def write_clustering_csv(df: DataFrame, path: str) -> None:
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')
+        .option("nullValue", NULL_TEXT)
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
 
-def append_draws(draws: DataFrame, path: str) -> None:
-    draws.write.mode("append").partitionBy("chain").parquet(path)
-
-
-def append_trace(trace: DataFrame, path: str) -> None:
-    trace.write.mode("append").partitionBy("chain").parquet(path)
+def write_iterations(rows: DataFrame, path: str) -> None:
+    """Add draws or trace rows by (iteration, chain); writing an iteration again replaces it."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("iteration", "chain").parquet(path)
 
 
 def read_draws(spark: SparkSession, path: str) -> DataFrame:

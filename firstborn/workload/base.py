@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +113,11 @@ def turn_tokens(turn_rows: DataFrame) -> DataFrame:
     )
 
 
+def with_vocabulary(model: TopicModel, tokens: DataFrame) -> TopicModel:
+    """The model with as many words as the tokens have."""
+    return replace(model, num_words=max(2, tokens.select("term").distinct().count()))
+
+
 def draws(spark, sf, keep=("obs",)) -> DataFrame:
     """Draws over all events: neighbouring users merge, some stand alone in a draw."""
     base = events(spark, sf)

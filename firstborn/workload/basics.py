@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import lbeta, lfactorial, lgamma, log_multivariate_beta, mvn_logpdf, mvt_logpdf
+from ..operators.joins import skew_join
 from ..operators import checks, draws as dr, labels, order, prior, similarity, stats
 from ..session import scratch_path
 from ..sources import tables
@@ -38,11 +39,11 @@ def s2(spark, sf):
 
 
 @query("s3_clustering_csv", """SELECT doc_id AS obs, min(doc_id) OVER (PARTITION BY lang, source) AS cluster, length(text) AS chars,
-md5(text) AS digest FROM documents WHERE text <> ''""")
+md5(text) AS digest FROM documents""")
 def s3(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.col("text") != "")
-    first = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("cluster"))
-    rows = docs.join(first, ["lang", "source"]).select(
+    docs = table(spark, sf, "documents")
+    first = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("cluster"), F.count("*").alias("_size"))
+    rows = skew_join(docs, first, ["lang", "source"], size="_size", spread="doc_id").select(
         F.col("doc_id").cast("string").alias("timestamp"), F.col("text").alias("tweet"), "cluster"
     )
     path = scratch_path(spark, "clustering")
@@ -59,7 +60,7 @@ def s3(spark, sf):
 @query("s4_draws_sink", f"""WITH {DR} SELECT chain, iteration, obs, cluster FROM d WHERE iteration > 4 AND iteration % 4 = 0""")
 def s4(spark, sf):
     path = scratch_path(spark, "draws")
-    tables.append_draws(draws(spark, sf), path)
+    tables.write_iterations(draws(spark, sf), path)
     kept = labels.keep_iterations(tables.read_draws(spark, path), 4, 4)
     return kept.select("chain", "iteration", "obs", "cluster")
 
@@ -87,9 +88,12 @@ def p2(spark, sf):
     return labels.one_hot(events(spark, sf))
 
 
-@query("p2_one_hot_dense", f"""WITH {UA} SELECT series, obs, (cluster = 1)::BIGINT AS c1, (cluster = 2)::BIGINT AS c2, (cluster = 3)::BIGINT AS c3 FROM ua""")
+@query("p2_one_hot_dense", f"""WITH {UA}, z AS (SELECT series, obs, dense_rank() OVER (PARTITION BY series ORDER BY cluster) AS k FROM ua)
+SELECT series, obs, (k = 1)::BIGINT AS c1, (k = 2)::BIGINT AS c2, (k = 3)::BIGINT AS c3, (k = 4)::BIGINT AS c4, (k = 5)::BIGINT AS c5 FROM z""")
 def p2_dense(spark, sf):
-    return labels.one_hot_dense(users(spark, sf), [1, 2, 3], ["series"])
+    # A cluster is an event type, so a series has no more clusters than there are types.
+    most = table(spark, sf, "events").select("event_type").distinct().count()
+    return labels.one_hot_dense(users(spark, sf), most, ["series"])
 
 
 @query("p3_canonical_labels", f"""WITH {EA} SELECT obs, cluster FROM ea""")
@@ -124,7 +128,7 @@ SELECT 'null_value' AS check_name, count(*) FILTER (obs IS NULL OR term IS NULL
 UNION ALL SELECT 'negative_count', count(*) FILTER (cnt < 0) FROM ct
 UNION ALL SELECT 'null_vector', count(*) FILTER (embedding IS NULL) FROM embeddings
 UNION ALL SELECT 'wrong_dimension', count(*) FILTER (len(embedding) <> 64) FROM embeddings
-UNION ALL SELECT 'bad_value', count(*) FILTER (len(list_filter(embedding, lambda v: v IS NULL OR isnan(v))) > 0) FROM embeddings""")
+UNION ALL SELECT 'bad_value', count(*) FILTER (len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) > 0) FROM embeddings""")
 def p7(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("embedding").alias("x"))
     counts = customer_flags(spark, sf, customers(spark, sf))

@@ -11,7 +11,7 @@ from ..plans import starts
 from .base import (
     CA, CW, DP, DR, EA, FLAGS, STICKS, TK, TOPIC_MODEL, TOPICS, UA, UW, VALUES,
     customer_flags, customers, draws, events, gaussian_marginal_sql, gaussian_predictive_sql,
-    h52, lb, query, r, table, turn_tokens, turns, users, white_users,
+    h52, lb, query, r, table, turn_tokens, turns, users, white_users, with_vocabulary,
 )
 
 LB0 = lb("1.3::DOUBLE", "0.7::DOUBLE")
@@ -96,7 +96,8 @@ def m8(spark, sf):
 w AS (SELECT topic, term, count(*) AS cnt FROM tk GROUP BY ALL)
 SELECT 'cluster' AS part, series || ':' || cluster AS owner, round(sum(lgamma(cnt + 0.3::DOUBLE) - lgamma(0.3::DOUBLE)) + lgamma(1.2::DOUBLE) - lgamma(1.2::DOUBLE + sum(cnt)::DOUBLE), 5) AS log_marginal
 FROM k GROUP BY series, cluster
-UNION ALL SELECT 'topic', topic::VARCHAR, round(sum(lgamma(cnt + 0.1::DOUBLE) - lgamma(0.1::DOUBLE)) + lgamma(100.0::DOUBLE) - lgamma(100.0::DOUBLE + sum(cnt)::DOUBLE), 5) FROM w GROUP BY topic""")
+UNION ALL SELECT 'topic', topic::VARCHAR, round(sum(lgamma(cnt + 0.1::DOUBLE) - lgamma(0.1::DOUBLE)) + lgamma(0.1::DOUBLE * any_value(v)) - lgamma(0.1::DOUBLE * any_value(v) + sum(cnt)::DOUBLE), 5)
+FROM w CROSS JOIN (SELECT count(DISTINCT term) AS v FROM tk) GROUP BY topic""")
 def m9(spark, sf):
     rows = turns(spark, sf)
     tokens = turn_tokens(rows)
@@ -107,7 +108,7 @@ def m9(spark, sf):
     left = per_cluster.select(
         F.lit("cluster").alias("part"), F.concat_ws(":", "series", "cluster").alias("owner"), r("log_marginal", 5).alias("log_marginal")
     )
-    right = lk.topic_word_score(stats.topic_terms(tokens), TOPIC_MODEL).select(
+    right = lk.topic_word_score(stats.topic_terms(tokens), with_vocabulary(TOPIC_MODEL, tokens)).select(
         F.lit("topic").alias("part"), F.col("topic").cast("string").alias("owner"), r("log_marginal", 5).alias("log_marginal")
     )
     return left.unionByName(right)
