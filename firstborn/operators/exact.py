@@ -10,23 +10,27 @@ from pyspark.sql import functions as F
 from .draws import batch_standard_errors, clustering_frequencies, normalised_weights, signatures
 
 LONGEST = 12
+#: Observations whose labels fit one packed code.
+CODED = 15
 SPREAD_AT = 6
 
 
-def all_partitions(series: DataFrame, by: Sequence[str], longest: int) -> DataFrame:
-    """Every set partition of 1..n for each series ``(by, n)``.
+def all_partitions(series: DataFrame, by: Sequence[str], longest: int, limit: int = LONGEST) -> DataFrame:
+    """Every set partition of 1..n for each series ``(by, n)`` of at most ``limit`` observations.
 
     Each round appends one observation: it joins a label already present or
-    opens its own.  The count grows as Bell numbers, so ``longest`` (the
-    largest n present) is limited; rows are spread again halfway so that one
-    long series does not stay in one task.  ``code`` packs the labels into one
-    integer, four bits each, which names the clustering exactly in later joins.
+    opens its own.  The count grows as Bell numbers, so longer series have no
+    rows here: ``too_long`` lists them, and candidate clusterings of theirs can be
+    scored with ``joint_score``.  ``longest`` is the largest n present.  Rows are
+    spread again halfway so that one long series does not stay in one task.
+    ``code`` packs the labels into one integer, four bits each, which names the
+    clustering exactly in later joins.
     """
-    if longest > LONGEST:
-        raise ValueError(f"exact enumeration is limited to {LONGEST} observations per series")
+    if limit > CODED:
+        raise ValueError(f"codes hold up to {CODED} observations")
     one = F.lit(1).cast("bigint")
-    rows = series.select(*by, "n", F.array(one).alias("labels"), one.alias("code"))
-    for i in range(2, longest + 1):
+    rows = series.filter(F.col("n") <= limit).select(*by, "n", F.array(one).alias("labels"), one.alias("code"))
+    for i in range(2, min(longest, limit) + 1):
         here = F.lit(i).cast("bigint")
         open_round = F.col("n") >= i
         # A finished series keeps its row through a single no-op choice.
@@ -44,10 +48,15 @@ def all_partitions(series: DataFrame, by: Sequence[str], longest: int) -> DataFr
     return rows
 
 
+def too_long(series: DataFrame, by: Sequence[str], limit: int = LONGEST) -> DataFrame:
+    """The series ``(by, n)`` that ``all_partitions`` leaves out."""
+    return series.filter(F.col("n") > limit).select(*by, "n")
+
+
 def code_labels(code: str = "code"):
     """The label array packed in ``code``."""
     packed = F.col(code)
-    digits = F.array(*[F.shiftright(packed, 4 * i).bitwiseAND(F.lit(15)) for i in range(LONGEST)])
+    digits = F.array(*[F.shiftright(packed, 4 * i).bitwiseAND(F.lit(15)) for i in range(CODED)])
     return F.filter(digits, lambda v: v > 0)
 
 

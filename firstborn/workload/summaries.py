@@ -301,7 +301,7 @@ def d4(spark, sf):
 
 LV = (0.25, 5.0, 1.0)
 PARTS = """nn AS (SELECT series, count(*) AS n FROM ta GROUP BY 1),
-parts AS (SELECT series, n, 1::BIGINT AS i, [1::BIGINT] AS labels FROM nn
+parts AS (SELECT series, n, 1::BIGINT AS i, [1::BIGINT] AS labels FROM nn WHERE n <= 12
   UNION ALL SELECT series, n, i + 1, list_append(labels, c.c) FROM parts, LATERAL (SELECT unnest(list_append(list_distinct(labels), i + 1)) AS c) c WHERE i < n),
 pz AS (SELECT series, labels FROM parts WHERE i = n)"""
 SCORED = f"""pl AS (SELECT series, labels, unnest(labels) AS cluster, generate_subscripts(labels, 1) AS obs FROM pz),
@@ -315,11 +315,11 @@ def _partitions(spark, sf):
     rows = turn_lengths(turns(spark, sf))
     series = rows.groupBy("series").agg(F.count("*").alias("n"))
     longest = series.agg(F.max("n")).first()[0]
-    return rows, exact.all_partitions(series, ["series"], longest)
+    return rows, series, exact.all_partitions(series, ["series"], longest)
 
 
 def _exact(spark, sf):
-    rows, parts = _partitions(spark, sf)
+    rows, _, parts = _partitions(spark, sf)
     pairs = exact.partition_rows(parts, ["series"]).join(rows.drop("cluster"), ["series", "obs"])
     scored = lk.joint_score(pairs, LENGTHS, STICKS, ["series", "code"], levels=1)
     return exact.exact_posterior(scored, ["series"])
@@ -331,9 +331,13 @@ def label_text():
 
 
 
-@query("u2_all_partitions", f"""WITH RECURSIVE {TU}, {PARTS} SELECT series, array_to_string(labels, '-') AS labels FROM pz""")
+@query("u2_all_partitions", f"""WITH RECURSIVE {TU}, {PARTS} SELECT series, array_to_string(labels, '-') AS labels FROM pz
+UNION ALL SELECT series, NULL FROM nn WHERE n > 12""")
 def u2(spark, sf):
-    return _partitions(spark, sf)[1].select("series", label_text())
+    """A series too long to enumerate is one row without labels."""
+    _, series, parts = _partitions(spark, sf)
+    left_out = exact.too_long(series, ["series"]).select("series", F.lit(None).cast("string").alias("labels"))
+    return parts.select("series", label_text()).unionByName(left_out)
 
 
 @query("m20_exact_posterior", f"""WITH RECURSIVE {TU}, {PARTS}, {SCORED} SELECT series, array_to_string(labels, '-') AS labels, round(js, 5) AS joint_score, round(probability, 7) AS probability FROM px""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firstborn.models import CountModel, GaussianModel, GibbsSettings, StickArrivalPrior, TopicModel
 from firstborn.operators.draws import batch_standard_errors
+from firstborn.operators.exact import all_partitions, too_long
 from firstborn.operators.labels import one_hot_dense
 from firstborn.plans.fit import fit, last_state
 from firstborn.session import persist_reliably, table_scope
@@ -98,3 +99,12 @@ def test_a_fit_can_go_on_from_its_files(spark, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
     more = fit(rows, model, StickArrivalPrior(), GibbsSettings(1, starts=("random",)), start=last)
     assert sorted(map(tuple, more.draws.select("chain", "obs", "cluster").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_long_series_is_listed_and_the_others_enumerated(spark):
+    series = spark.createDataFrame([("a", 3), ("b", 16), ("c", 1)], "series string, n bigint")
+    parts = all_partitions(series, ["series"], 16, limit=4)
+    assert {r.series: r["count"] for r in parts.groupBy("series").count().collect()} == {"a": 5, "c": 1}
+    assert [tuple(r) for r in too_long(series, ["series"], 4).collect()] == [("b", 16)]
+    with pytest.raises(ValueError, match="codes hold"):
+        all_partitions(series, ["series"], 16, limit=16)
