@@ -271,7 +271,8 @@ def mix(
     parts = parts.withColumn("_from", F.greatest(begin, base)).withColumn("_to", F.least(end, base + block_words))
     taken = F.least(F.col("_to"), base + F.col("holds")) - F.col("_from")
     spans = (
-        parts.join(filled, ["source_no", "block"])
+        # Both sides grow with the corpus, whatever the size the planner guesses for the slots.
+        parts.join(filled.hint("merge"), ["source_no", "block"])
         .withColumn("words", taken)
         .filter("words > 0")
         .withColumn("first", F.col("_from") - F.col("start"))
