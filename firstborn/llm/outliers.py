@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import skew_join
 from ..session import persist_reliably
 from .common import SPACES, WORD_BREAK, whole_text
 
@@ -179,7 +180,7 @@ def _moments(core: DataFrame) -> DataFrame:
     products = [
         F.covar_pop(F.col(STATISTICS[i]), F.col(STATISTICS[j])).alias(f"c{i}_{j}") for i in range(size) for j in range(i + 1)
     ]
-    out = core.groupBy("grp", "start").agg(*sums, *products)
+    out = core.groupBy("grp", "start").agg(F.count("*").alias("rows"), *sums, *products)
     for i in range(size):
         out = out.withColumn(f"c{i}_{i}", F.col(f"c{i}_{i}") + F.lit(FLOORS[STATISTICS[i]] ** 2 / CONSISTENCY))
     for i in range(size):
@@ -199,8 +200,9 @@ def _core(rows: DataFrame, distance: Column) -> DataFrame:
     The grid makes the exact percentile a merge of small histograms, whatever the group's size.
     """
     placed = rows.withColumn("_d", F.floor(F.ln(distance + 1) * 50).cast("int"))
-    limit = placed.groupBy("grp", "start").agg(F.percentile("_d", F.lit(CORE)).alias("_limit"))
-    return placed.join(limit, ["grp", "start"]).filter(F.col("_d") <= F.ceil("_limit"))
+    limit = persist_reliably(placed.groupBy("grp", "start").agg(F.percentile("_d", F.lit(CORE)).alias("_limit"), F.count("*").alias("_rows")))
+    # A group may hold a third of all rows, so joins back to rows split it.
+    return skew_join(placed, limit, ["grp", "start"], size="_rows", spread=STATISTICS).filter(F.col("_d") <= F.ceil("_limit")).drop("_rows")
 
 
 def covariance_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -209,11 +211,16 @@ def covariance_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     Starts: coordinate medians with median absolute deviations, and with the floors as scales.
     """
     used = rows.filter("used").select("grp", *STATISTICS)
-    middle = used.groupBy("grp").agg(*[F.percentile(F.round(x, 2), F.lit(0.5)).alias(f"_m{i}") for i, x in enumerate(STATISTICS)])
+    middle = persist_reliably(
+        used.groupBy("grp").agg(
+            F.count("*").alias("_rows"), *[F.percentile(F.round(x, 2), F.lit(0.5)).alias(f"_m{i}") for i, x in enumerate(STATISTICS)]
+        )
+    )
     spread = (
-        used.join(middle, "grp")
+        skew_join(used, middle, ["grp"], size="_rows", spread=STATISTICS)
         .groupBy("grp")
         .agg(
+            F.first("_rows").alias("_rows"),
             *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(len(STATISTICS))],
             *[
                 F.greatest(F.percentile(F.round(F.abs(F.col(x) - F.col(f"_m{i}")), 2), F.lit(0.5)) * 1.4826, F.lit(FLOORS[x])).alias(f"_s{i}")
@@ -222,14 +229,15 @@ def covariance_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         )
     )
     spread = persist_reliably(spread)
-    first = used.join(spread, "grp").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = skew_join(used, spread, ["grp"], size="_rows", spread=STATISTICS).drop("_rows").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     scaled = [
         (F.col(x) - F.col(f"_m{i}")) / F.when(F.col("start") == 0, F.col(f"_s{i}")).otherwise(F.lit(FLOORS[x]))
         for i, x in enumerate(STATISTICS)
     ]
     estimate = persist_reliably(_moments(_core(first, reduce(lambda a, b: a + b, [s * s for s in scaled]))))
     for _ in range(steps):
-        estimate = persist_reliably(_moments(_core(used.join(estimate, "grp"), _distance("m", "l"))))
+        near = skew_join(used, estimate, ["grp"], size="rows", spread=STATISTICS).drop("rows")
+        estimate = persist_reliably(_moments(_core(near, _distance("m", "l"))))
     names = [c for c in estimate.columns if c not in ("grp", "start", "det")]
     best = estimate.groupBy("grp").agg(F.min(F.struct("det", "start", *names)).alias("best"))
     return best.select("grp", *[F.col(f"best.{n}").alias(n) for n in names])
@@ -247,7 +255,8 @@ def quality_rules(docs: DataFrame, fewest: int = FEWEST, cutoff: float = CUTOFF)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rows = persist_reliably(transformed(stats).withColumn("base_failed", failed).withColumn("used", ~failed))
     rows = persist_reliably(estimation_groups(rows, fewest))
-    judged = rows.join(covariance_estimates(rows), "grp", "left").withColumn("distance", _distance("m", "l"))
+    estimates = persist_reliably(covariance_estimates(rows))
+    judged = skew_join(rows, estimates, ["grp"], size="rows", spread="doc_id", how="left").withColumn("distance", _distance("m", "l"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.withColumn("kept", kept).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
