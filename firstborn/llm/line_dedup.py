@@ -23,6 +23,9 @@ SHINGLE = 5
 #: Tokens are counted by this many hash buckets: a fixed table, whatever the corpus.
 BUCKET_BITS = 14
 
+#: Documents are told apart by this many hash bits before a join on them.
+FILTER_BITS = 20
+
 _LOW = (1 << BUCKET_BITS) - 1
 
 
@@ -67,6 +70,20 @@ def _ceil_share(n: Column, a: int, b: int) -> Column:
     return F.floor((n * a + (b - 1)) / b).cast("int")
 
 
+def _bucket(doc_id: str, tie: str) -> Column:
+    return F.xxhash64(doc_id, tie).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+
+
+def touched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` (doc_id, tie, ...) that may be among ``keys`` (doc_id, tie), or surely are not.
+
+    A filter of at most 2^FILTER_BITS bucket numbers is broadcast, so most other rows never
+    reach a shuffle; rows that share a bucket are sorted out by the join after it.
+    """
+    buckets = keys.select(_bucket("doc_id", "tie").alias("_b")).distinct()
+    return docs.join(F.broadcast(buckets), _bucket("doc_id", "tie") == F.col("_b"), how)
+
+
 def removed_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, tie and removed (line numbers from 0) of the documents that lose lines.
 
@@ -76,7 +93,7 @@ def removed_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFr
     """
     a, b = similar
     ranks = F.broadcast(persist_reliably(token_ranks(docs)))  # one row of fixed size
-    lines = F.transform(
+    tokens = F.transform(
         F.split("text", "\n"),
         lambda line: let(
             ordered_tokens(line, F.col("ranks")),
@@ -88,66 +105,70 @@ def removed_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFr
             ),
         ),
     )
-    exploded = (
+    lines = persist_reliably(
         docs.crossJoin(ranks)
-        .select("doc_id", "tie", F.posexplode(lines).alias("no", "l"))
+        .select("doc_id", "tie", F.posexplode(tokens).alias("no", "l"))
         .filter("l.n > 0")
-        .select(F.struct("doc_id", "tie", "no").alias("at"), "l.*")
+        .select("doc_id", "tie", "no", "l.*")
     )
+    at = F.struct("doc_id", "tie", "no")
     # Equal sets are one class; its first line stays unless an earlier class is similar.
-    stored = persist_reliably(exploded.select("at", "n", "k1", "k2", "prefix"))
-    classes = persist_reliably(
-        stored.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    prefixes = lines.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = prefixes.select("k1", "n", F.posexplode("prefix").alias("i", "token")).select(
+        "token", "k1", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint")).alias("ni")
     )
-    postings = classes.select("k1", "k2", "n", F.posexplode("prefix").alias("i", "token"))
     shared = postings.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
-    shared = persist_reliably(shared.drop("df"))
+    shared = persist_reliably(
+        shared.select("token", "k1", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
+    )
     right = shared.select(*[F.col(c).alias(f"{c}_b") for c in shared.columns])
     n_a, n_b, i_a, i_b = (F.col(c) for c in ("n", "n_b", "i", "i_b"))
-    # |A and B| >= a / (a + b) * (|A| + |B|) is what the similarity asks for.
+    # |A and B| >= a / (a + b) * (|A| + |B|) is what the similarity asks for; the first common
+    # token must leave that many behind it in both orders.
     needed = (n_a + n_b) * a
-    pairs = (
+    pairs = persist_reliably(
         shared.join(right, F.col("token") == F.col("token_b"))
-        .filter((F.col("k1") < F.col("k1_b")) | ((F.col("k1") == F.col("k1_b")) & (F.col("k2") < F.col("k2_b"))))
-        .filter((n_a * b >= n_b * a) & (n_b * b >= n_a * a))
-        .filter((F.least(n_a - i_a, n_b - i_b)) * (a + b) >= needed - F.least(i_a, i_b) * (a + b))
-        .select("k1", "k2", "k1_b", "k2_b")
+        .filter((F.col("k1") < F.col("k1_b")) & (n_a * b >= n_b * a) & (n_b * b >= n_a * a))
+        .filter(((n_a - i_a) * (a + b) >= needed) & ((n_b - i_b) * (a + b) >= needed))
+        .select("k1", "k1_b")
         .distinct()
     )
-    pairs = persist_reliably(pairs)
-    wanted = pairs.select("k1", "k2").unionByName(pairs.select(F.col("k1_b").alias("k1"), F.col("k2_b").alias("k2"))).distinct()
-    places = wanted.join(classes.select("k1", "k2", "at"), ["k1", "k2"])
-    by_doc = places.groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.tie").alias("_tie")).agg(
+    wanted = pairs.select("k1").unionByName(pairs.select(F.col("k1_b").alias("k1"))).distinct()
+    # The first line of every class in a pair.  k1 alone named classes so far; from here both hashes do.
+    firsts = persist_reliably(lines.join(wanted, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(at).alias("at")))
+    by_doc = firsts.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tie").alias("tie")).agg(
         F.collect_list(F.struct(F.col("at.no").alias("no"), "k1", "k2")).alias("picked")
     )
+    by_doc = persist_reliably(by_doc)
+    named = by_doc.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "picked")
     fetched = (
-        docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
-        .select(F.col("picked"), F.split("text", "\n").alias("lines"))
-        .select(F.explode(F.transform("picked", lambda p: F.struct(p["k1"].alias("k1"), p["k2"].alias("k2"), F.get("lines", p["no"]).alias("line")))).alias("p"))
-        .select("p.k1", "p.k2", F.array_distinct(line_shingles(F.col("p.line"))).alias("tokens"))
-        .dropDuplicates(["k1", "k2"])
+        touched(docs, by_doc, "left_semi")
+        .join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
+        .select("doc_id", "tie", "picked", F.split("text", "\n").alias("lines"))
+        .select(
+            "doc_id",
+            "tie",
+            F.explode(F.transform("picked", lambda p: F.struct(p["no"].alias("no"), p["k1"].alias("k1"), F.get("lines", p["no"]).alias("line")))).alias("p"),
+        )
+        .select(F.struct("doc_id", "tie", "p.no").alias("at"), "p.k1", F.array_distinct(line_shingles(F.col("p.line"))).alias("tokens"))
     )
     fetched = persist_reliably(fetched)
-    other = fetched.select(F.col("k1").alias("k1_b"), F.col("k2").alias("k2_b"), F.col("tokens").alias("tokens_b"))
+    other = fetched.select(F.col("at").alias("at_b"), F.col("k1").alias("k1_b"), F.col("tokens").alias("tokens_b"))
     both = F.size(F.array_intersect("tokens", "tokens_b"))
     linked = (
-        pairs.join(fetched, ["k1", "k2"])
-        .join(other, ["k1_b", "k2_b"])
+        pairs.join(fetched, "k1")
+        .join(other, "k1_b")
         .filter(both * (a + b) >= (F.size("tokens") + F.size("tokens_b")) * a)
-        .select("k1", "k2", "k1_b", "k2_b")
-    )
-    first_a, first_b = classes.select("k1", "k2", F.col("at").alias("at_a")), classes.select(
-        F.col("k1").alias("k1_b"), F.col("k2").alias("k2_b"), F.col("at").alias("at_b")
+        .select(F.greatest("at", "at_b").alias("at"))
+        .distinct()
     )
-    placed = linked.join(first_a, ["k1", "k2"]).join(first_b, ["k1_b", "k2_b"])
-    later = F.col("at_a") > F.col("at_b")
-    similar_later = placed.select(
-        F.when(later, F.col("k1")).otherwise(F.col("k1_b")).alias("k1"), F.when(later, F.col("k2")).otherwise(F.col("k2_b")).alias("k2")
-    ).distinct().withColumn("gone", F.lit(True))
-    firsts = classes.join(similar_later, ["k1", "k2"], "left").select("k1", "k2", F.col("at").alias("first"), "gone")
+    gone = firsts.join(linked, "at").select("k1", "k2", F.lit(True).alias("gone"))
+    starts = lines.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("copies")).join(gone, ["k1", "k2"], "left")
+    # Only classes with later copies or a similar earlier class lose lines.
+    losing = starts.filter(F.col("gone") | (F.col("copies") > 1)).select("k1", "k2", "first", "gone")
     # A class of a very common line has many rows here, but one row on the other side.
-    again = stored.select("k1", "k2", "at").join(firsts, ["k1", "k2"]).filter(F.col("gone") | (F.col("at") > F.col("first")))
-    return again.groupBy("at.doc_id", "at.tie").agg(F.sort_array(F.collect_set("at.no")).alias("removed"))
+    again = lines.select("doc_id", "tie", "no", "k1", "k2").join(losing, ["k1", "k2"]).filter(F.col("gone") | (at > F.col("first")))
+    return again.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -158,15 +179,18 @@ def dedup_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFram
     Rows with equal doc_id and text stand for each other: they lose the same lines, and not
     to one another.  An empty table gives no rows.  Other columns pass through.
     """
-    keyed = docs.withColumn("_tie", F.xxhash64(whole_text()))
+    names = docs.columns
     slim = docs.select("doc_id", F.xxhash64(whole_text()).alias("tie"), whole_text().alias("text"))
-    gone = removed_lines(slim, similar).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_gone_tie"), "removed")
-    kept = F.array_join(
-        F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("removed"), i)), "\n"
+    gone = persist_reliably(removed_lines(slim, similar))
+    keyed = docs.select(F.struct(*names).alias("row"), "doc_id", F.xxhash64(whole_text()).alias("tie"))
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    named = gone.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "removed")
+    maybe = touched(keyed, gone, "left_semi").join(
+        named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left"
     )
-    return (
-        keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_gone_tie")), "left")
-        .withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
-        .withColumn("removed", F.coalesce(F.size("removed"), F.lit(0)))
-        .drop("_tie", "_doc", "_gone_tie")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
+    changed = maybe.select(
+        *[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], F.coalesce(F.size("removed"), F.lit(0)).alias("removed")
     )
+    same = touched(keyed, gone, "left_anti").select("row.*", F.lit(0).alias("removed"))
+    return changed.unionByName(same)
