@@ -33,7 +33,7 @@ MARK = "▁"
 #: Characters above which a text is cut into chunks of this size that are encoded in parallel.
 CHUNK = 1 << 16
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 START = -1
 FOREVER = float("inf")
@@ -70,7 +70,13 @@ class PieceModel:
             raise ValueError("a piece holds a space mark after another character")
         self.endings: dict[str, list[tuple[str, float, float]]] = {}
         self.beginnings: dict[str, list[tuple[str, float, float]]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
+        # Letters of the longest piece that begins with two given letters.
+        self.reach: dict[str, int] = {}
+        for piece in self.ids:
+            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
+        self.raw = [self.bytes_of.get(i, p.encode()) for i, p in enumerate(self.pieces)]
         self.words: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
@@ -110,10 +116,11 @@ class PieceModel:
         return known[piece]
 
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.fits.get(key)
+        known = self.fits.setdefault(left, {})
+        found = known.get(right)
         if found is None:
-            found = self.fits[key] = self._compatible(left, right)
+            found = known[right] = self._compatible(left, right)
+            self.n_fits += 1
         return found
 
     def _compatible(self, left: str, right: str) -> bool:
@@ -129,28 +136,40 @@ class PieceModel:
     # --- the lattice ---
 
     def path(self, text: str) -> list[str]:
-        """The encoding of one word or any other text, from its start."""
-        last: list[str] = [""] * (len(text) + 1)
-        rank, longest, fits = self.rank, self.longest, self.fits
-        for end in range(1, len(text) + 1):
-            # A prefix has one encoding, so its last piece is the only one that fits: short ones first.
-            for begin in range(end - 1, max(-1, end - longest - 1), -1):
-                piece = text[begin:end]
-                if begin == end - 1 or piece in rank:
-                    before = last[begin]
-                    if not begin:
-                        last[end] = piece
+        """The encoding of one word or any other text, from its start.
+
+        A prefix has one encoding, so the last piece is known from the position alone: long
+        pieces are tried first, and a position from which nothing fits is never tried again.
+        """
+        out: list[str] = []
+        tried: list[int] = []
+        dead: set[int] = set()
+        at, end, left = 0, len(text), ""
+        length = self.reach.get(text[:2], 1)
+        while at < end:
+            while length:
+                piece = text[at : at + length]
+                if at + length <= end and at + length not in dead and (length == 1 or piece in self.rank):
+                    if not left:
                         break
-                    if before:
-                        good = fits.get((before, piece))
-                        if good if good is not None else self.compatible(before, piece):
-                            last[end] = piece
-                            break
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+                    known = self.fits.get(left)
+                    good = known.get(piece) if known is not None else None
+                    if good if good is not None else self.compatible(left, piece):
+                        break
+                length -= 1
+            if length:
+                out.append(piece)
+                tried.append(length)
+                at += length
+                left = piece
+                length = self.reach.get(text[at : at + 2], 1)
+            else:
+                dead.add(at)
+                length = tried.pop() - 1
+                at -= length + 1
+                out.pop()
+                left = out[-1] if out else ""
+        return out
 
     def to_ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -165,8 +184,9 @@ class PieceModel:
     def learn(self, words: set[str], remembered: int) -> None:
         if len(self.words) > remembered:
             self.words.clear()
-        if len(self.fits) > remembered:
+        if self.n_fits > remembered:
             self.fits.clear()
+            self.n_fits = 0
         for word in words.difference(self.words):
             self.words[word] = np.array(self.to_ids(self.path(word)), np.int32).tobytes()
 
@@ -239,10 +259,7 @@ class PieceModel:
         return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            out.append(self.bytes_of[i] if i in self.bytes_of else self.pieces[i].encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -421,18 +438,19 @@ def digests(encoded: DataFrame, model_path: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
         for rows in batches:
-            for start in range(0, len(rows), 500):
-                part = rows.slice(start, 500)
-                lists = part.column("ids").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) for x in lists], pa.int64()),
-                        pa.array([zlib.crc32(np.array(x, "<i4")) for x in lists], pa.int64()),
-                        pa.array([hashlib.sha256(model.decode(x).encode()).hexdigest() for x in lists], pa.string()),
-                    ],
-                    ["doc_id", "n_pieces", "ids_crc32", "text_sha256"],
-                )
+            column = rows.column("ids")
+            flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), "<i4")
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            parts = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"),
+                    pa.array([len(x) for x in parts], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                    pa.array([hashlib.sha256(model.decode(x.tolist()).encode()).hexdigest() for x in parts], pa.string()),
+                ],
+                ["doc_id", "n_pieces", "ids_crc32", "text_sha256"],
+            )
 
     return encoded.select("doc_id", "ids").mapInArrow(
         digest, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, text_sha256 string"
