@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 16
 MOST_PLANES = 32
 LEVEL = 1
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def split_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -151,6 +151,12 @@ class _WordIds(dict):
                 self[word] = np.array(enc.ids, "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def _known_words(tokenizer_path: str) -> _WordIds:
+    """What this worker has encoded so far, shared by its tasks."""
+    return _WordIds(load_tokenizer(tokenizer_path))
+
+
 def _writer(folder: str, tokenizer_path: str, end_id: int, block_ids: int, bits: bool, remembered: int):
     """Arrow function: sorted (doc_id, text) to a file per partition and its document index."""
 
@@ -159,7 +165,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, block_ids: int, bits:
         store, root = FileSystem.from_uri(folder)
         name = f"part-{context.partitionId():06d}.ids"
         partial = f"{root}/{name}.{context.taskAttemptId()}"
-        ids_of = _WordIds(load_tokenizer(tokenizer_path))
+        ids_of = _known_words(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         stream = writer = None
         start = 0
