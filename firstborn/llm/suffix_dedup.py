@@ -22,7 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_reliably, scratch_path
+from ..operators.joins import skew_join
+from ..session import drop_tables, persist_reliably, scratch_path, table_scope
 from .common import partitions, whole_text
 
 LENGTH = 50
@@ -31,7 +32,9 @@ GRAM = 16
 SLICE = 1 << 20
 #: Text of one suffix array.
 SHARD_BYTES = 3 << 20
-#: Text shards and minimizer buckets per shuffle partition.
+#: Text of a shard at least, and shards (and minimizer buckets) per shuffle partition at most.
+#: Every shard sends a row to every bucket, so their numbers must not outgrow the text.
+TEXT_SHARD = 1 << 20
 SHARDS_PER_PARTITION = 4
 
 _STEP = 0x9E3779B97F4A7C15
@@ -435,13 +438,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     sha = F.sha2("text", 256)
     rows = persist_reliably(whole.select("doc_id", sha.alias("sha"), F.length("text").cast("bigint").alias("n_bytes")))
     # Equal texts: all but the least id lose everything.
-    least = rows.groupBy("sha").agg(F.min("doc_id").alias("least"))
+    least = persist_reliably(rows.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("_copies")))
     many = partitions(spark)
-    shards = buckets = many * SHARDS_PER_PARTITION
+    size = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    shards = buckets = max(1, min(size // TEXT_SHARD, many * SHARDS_PER_PARTITION))
     first = whole.withColumn("sha", sha).filter(F.length("text") >= length)
-    firsts = persist_reliably(
-        rows.filter((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
-    )
+    firsts = least.filter("least is not null").select("sha", F.col("least").alias("doc_id"))
     placed = (
         first.join(firsts, ["sha", "doc_id"])
         .dropDuplicates(["sha", "doc_id"])
@@ -449,23 +451,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         .select("shard", "doc_id", "sha", "text")
     )
     name = f"texts_{uuid.uuid4().hex}"
-    placed.repartition(many, "shard").write.bucketBy(many, "shard").option("compression", "zstd").option(
-        "path", scratch_path(spark, "texts")
-    ).format("parquet").saveAsTable(name)
+    path = scratch_path(spark, "texts")
+    placed.repartition(many, "shard").write.bucketBy(many, "shard").option("compression", "zstd").option("path", path).format(
+        "parquet"
+    ).saveAsTable(name)
     texts = spark.table(name)
 
     minima = texts.groupBy("shard").applyInArrow(_send_minima(buckets, length), _MINIMA)
     shared = minima.groupBy("bucket").applyInArrow(_shared_minima, "shard int, minima binary")
-    sent = persist_reliably(
-        texts.groupBy("shard")
-        .cogroup(shared.groupBy("shard"))
-        .applyInArrow(_send_segments(buckets, length), "shard int, bucket int, sizes binary, owners binary, text binary, places binary")
-    )
-    found = persist_reliably(
-        sent.select("shard", "bucket", "sizes", "owners", "text")
-        .groupBy("bucket")
-        .applyInArrow(_judge_segments(length), "shard int, bucket int, cuts binary, starts binary, owner binary")
-    )
+    with table_scope() as spent:
+        sent = persist_reliably(
+            texts.groupBy("shard")
+            .cogroup(shared.groupBy("shard"))
+            .applyInArrow(_send_segments(buckets, length), "shard int, bucket int, sizes binary, owners binary, text binary, places binary")
+        )
+        found = persist_reliably(
+            sent.select("shard", "bucket", "sizes", "owners", "text")
+            .groupBy("bucket")
+            .applyInArrow(_judge_segments(length), "shard int, bucket int, cuts binary, starts binary, owner binary")
+        )
     answered = sent.select("shard", "bucket", "sizes", "places").join(found, ["shard", "bucket"])
     removed = persist_reliably(
         texts.groupBy("shard")
@@ -475,9 +479,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         )
     )
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+    drop_tables(spark, [path, *spent])
     copy = (F.col("least") < F.col("doc_id")) & (F.col("n_bytes") >= length)
     nothing = F.lit(b"" if with_text else hashlib.sha256(b"").hexdigest().encode())
-    judged = rows.join(least, "sha", "left").join(removed, ["sha", "doc_id"], "left")
+    # Thousands of copies share one text.
+    judged = skew_join(rows, least, ["sha"], size="_copies", spread="doc_id").join(removed, ["sha", "doc_id"], "left")
     out = judged.select(
         "doc_id",
         "n_bytes",
