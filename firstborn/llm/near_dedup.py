@@ -7,9 +7,11 @@ are one class from the start.
 
 Two documents of similarity s share about s*k retained values, so only the rarest
 k - SHARED + 1 of them need a list (a prefix filter): values of passages that many documents
-quote come last and drop out.  In a list every class is first compared with one leader; after
-that only classes still in different components are.  No pair that could add a link between
-components is left out.
+quote come last and drop out.  A set of at most k shingles is its own sketch, and the bound
+is exact; there the place of a value in both documents' order of rarity must also leave room
+for the overlap.  In a list every class is first compared with one leader; after that only
+classes still in different components are.  No pair that could add a link between components
+is left out.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_reliably
@@ -28,14 +31,19 @@ from .common import SPACES, whole_text
 from .components import components
 
 SHINGLE = 5
+#: Retained values with inverted lists.
+RETAINED = 256
+#: Retained values that two documents of similarity 0.85 share but for one case in four million:
+#: the lower tail of a binomial (256, 0.85).
+SHARED = 183
+#: Retained values kept for estimates.
 SKETCH = 64
-#: Retained values that two documents of similarity 0.85 share but for one case in ten million:
-#: the lower tail of a binomial (64, 0.85).
-SHARED = 36
 #: Estimates below this are more than five standard errors under the threshold.
 LEAST_ESTIMATE = 0.6
 #: Values are counted by this many hash buckets: a fixed table, whatever the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 22
+#: Parts in which the tasks' tables are added up.
+PARTS = 64
 #: Members of a leader compared in one task.
 MEMBERS = 256
 
@@ -64,78 +72,82 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        counts, keys, sketches = [], [], []
-        for text in rows.column("text"):
-            values = shingle_set(text.as_py())
-            counts.append(len(values))
-            whole = np.array([values.sum(), _mix(values ^ _A).sum()], np.uint64)
-            keys.append(whole.tobytes() if len(values) else None)
-            sketches.append(values[:SKETCH].view(np.int64))
-        ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, np.int64), *sketches])
-        yield pa.RecordBatch.from_arrays(
-            [
-                rows.column("doc_id"), rows.column("tie"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
-                pa.ListArray.from_arrays(ends, pa.array(flat)),
-            ],
-            ["doc_id", "tie", "n", "key", "sketch"],
-        )
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, n (set size), key (128-bit fingerprint of the set) and sketch of every row."""
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole_text()).alias("tie"), whole_text().cast("binary").alias("text")
-    ).mapInArrow(_sketcher, "doc_id bigint, tie bigint, n bigint, key binary, sketch array<bigint>")
-
-
 def _bucket(values: np.ndarray) -> np.ndarray:
-    return (_mix(values.view(np.uint64) + _B) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return (_mix(values + _B) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def bucket_counts(classes: DataFrame) -> np.ndarray:
-    """How often retained values fall in each of the BUCKETS buckets, over all classes."""
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """How often the retained values of all documents fall in each of the BUCKETS buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for rows in batches:
-            values = rows.column("sketch").flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(_bucket(values), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    found = classes.select("sketch").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out
+            for text in rows.column("text"):
+                np.add.at(total, _bucket(shingle_set(text.as_py())[:RETAINED]), 1)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blobs = [pack(part.tobytes()) for part in np.split(total, PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS // PARTS, np.int64)
+        for blob in table.column("counts"):
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.int64)
+        # Only the order of counts matters, so they may stop at the largest int32.
+        least = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([least.tobytes()], pa.binary())})
+
+    texts = docs.select(whole_text().cast("binary").alias("text"))
+    sums = texts.mapInArrow(count, "part int, counts binary").groupBy("part")
+    found = {r.part: r.counts for r in sums.applyInArrow(add, "part int, counts binary").collect()}
+    return np.concatenate([np.frombuffer(found[p], np.int32) if p in found else np.zeros(BUCKETS // PARTS, np.int32) for p in range(PARTS)])
 
 
 def listed(size: int, similar: float) -> int:
-    """How many of a class's retained values, rarest first, need an inverted list."""
+    """How many of a set's retained values, rarest first, need an inverted list."""
     # If the other set must fit its sketch too, both sketches are whole sets and the bound is exact.
-    if size * (1 / similar) <= SKETCH:
+    if size / similar <= RETAINED:
         return size - int(np.ceil(similar * size - 1e-9)) + 1
-    return min(size, SKETCH) - SHARED + 1
+    return min(size, RETAINED) - SHARED + 1
 
 
-def _lister(counts: np.ndarray, similar: float):
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketcher(counts: np.ndarray, similar: float):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ids, sizes, values = [], [], []
-            for cid, n, sketch in zip(
-                rows.column("cid").to_pylist(), rows.column("n").to_pylist(), rows.column("sketch"), strict=True
-            ):
-                kept = sketch.values.to_numpy()
-                order = np.lexsort((kept, counts[_bucket(kept)]))[: listed(n, similar)]
-                values.append(kept[order])
-                ids.append(np.full(len(order), cid))
-                sizes.append(np.full(len(order), n))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (values, ids, sizes)], ["value", "cid", "n"])
-
-    return lists
+            sizes, keys, sketches, rare = [], [], [], []
+            for text in rows.column("text"):
+                values = shingle_set(text.as_py())
+                sizes.append(len(values))
+                whole = np.array([values.sum(), _mix(values ^ _A).sum()], np.uint64)
+                keys.append(whole.tobytes() if len(values) else None)
+                sketches.append(values[:SKETCH].view(np.int64))
+                kept = values[:RETAINED]
+                order = np.lexsort((kept, counts[_bucket(kept)]))[: listed(len(values), similar) if len(values) else 0]
+                rare.append(kept[order].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"), rows.column("tie"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                    _lists(sketches), _lists(rare),
+                ],
+                ["doc_id", "tie", "n", "key", "sketch", "rare"],
+            )
+
+    return sketch
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
+def sketches(docs: DataFrame, similar: float) -> DataFrame:
+    """doc_id, tie, n (set size), key (128-bit fingerprint), sketch, and rare: the values with lists, rarest first."""
+    whole = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole_text()).alias("tie"), whole_text().cast("binary").alias("text")
+    )
+    counts = bucket_counts(docs)  # BUCKETS numbers of 4 bytes
+    return whole.mapInArrow(
+        _sketcher(counts, similar), "doc_id bigint, tie bigint, n bigint, key binary, sketch array<bigint>, rare array<bigint>"
+    )
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -182,6 +194,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, ratio: tuple[int, int]) -> Dat
     return members.groupBy("b", "salt").cogroup(leaders.groupBy("cid", "share")).applyInPandas(compare, "a bigint, b bigint")
 
 
+def _may_link(a: str, b: str, ratio: tuple[int, int], suffix: str = "") -> Column:
+    """Whether sizes, and the places of a shared value in both orders of rarity, allow the similarity."""
+    part, whole = ratio
+    n, m = F.col(f"{a}n"), F.col(f"{b}n{suffix}")
+    i, j = F.col(f"{a}place"), F.col(f"{b}place{suffix}")
+    sizes = (n * whole >= m * part) & (m * whole >= n * part)
+    # The first value that both have leaves at least the overlap behind it in either whole set.
+    needed = (n + m) * part
+    room = ((n - i) * (part + whole) >= needed) & ((m - j) * (part + whole) >= needed)
+    return sizes & (room | (n > RETAINED) | (m > RETAINED))
+
+
 def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, tie, n_shingles, component_id and kept of every row.
 
@@ -194,26 +218,27 @@ def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> Data
     """
     spark = docs.sparkSession
     similar = ratio[0] / ratio[1]
-    rows = persist_reliably(sketches(docs))
+    rows = persist_reliably(sketches(docs, similar))
     classes = persist_reliably(
         rows.filter("n > 0")
         .groupBy("key")
-        .agg(F.min(F.struct("doc_id", "tie")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(
+            F.min(F.struct("doc_id", "tie")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("rare").alias("rare")
+        )
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    counts = bucket_counts(classes)  # BUCKETS numbers
-    postings = classes.select("cid", "n", "sketch").mapInArrow(_lister(counts, similar), "value bigint, cid bigint, n bigint")
-    postings = persist_reliably(postings)
+    postings = classes.select("cid", "n", F.posexplode("rare").alias("place", "value"))
     lists = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
     shared = persist_reliably(postings.join(lists, "value"))
     # Sizes of linked sets differ by less than a band, so a pair meets in one band or the next.
     band = F.floor(F.ln("n") / -np.log(similar)).cast("int")
     banded = persist_reliably(shared.withColumn("band", F.explode(F.array(band, band + 1))))
-    groups = banded.groupBy("value", "band").agg(F.min("cid").alias("leader"), F.count("*").alias("df")).filter("df > 1")
+    # The class with the fewest rarer values of its own leads: among edited copies, the original.
+    groups = banded.groupBy("value", "band").agg(F.min(F.struct("place", "cid", "n")).alias("leader"), F.count("*").alias("df")).filter("df > 1")
     star = (
         banded.join(groups, ["value", "band"])
-        .filter("cid <> leader")
-        .select(F.col("cid").alias("a"), F.col("leader").alias("b"))
+        .filter((F.col("cid") != F.col("leader.cid")) & _may_link("", "leader.", ratio))
+        .select(F.col("cid").alias("a"), F.col("leader.cid").alias("b"))
         .distinct()
     )
     members = shared.select("cid").distinct()
@@ -230,18 +255,22 @@ def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> Data
     # What a leader did not settle: classes of one list that are in different components.
     label = F.coalesce("component", "cid")
     labelled = persist_reliably(banded.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", label).drop("component"))
-    mixed = labelled.groupBy("value", "band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("value", "band")
-    open_lists = labelled.join(mixed, ["value", "band"])
-    other = open_lists.select("value", "band", F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    mixed = (
+        labelled.groupBy("value", "band")
+        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("place", "cid")).alias("leader"))
+        .filter("x <> y")
+        .select("value", "band", F.col("leader.cid").alias("leader"))
+    )
+    # Leaders have been compared with everyone.
+    open_lists = labelled.join(mixed, ["value", "band"]).filter("cid <> leader")
+    other = open_lists.select("value", "band", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "place")])
     left = (
-        open_lists.select("value", "band", F.col("cid").alias("a"), "label", "n")
-        .join(other, ["value", "band"])
-        .filter((F.col("a") > F.col("b")) & (F.col("label") != F.col("label_b")))
-        .filter((F.col("n") * ratio[1] >= F.col("n_b") * ratio[0]) & (F.col("n_b") * ratio[1] >= F.col("n") * ratio[0]))
-        .select("a", "b")
+        open_lists.join(other, ["value", "band"])
+        .filter((F.col("cid") > F.col("cid_b")) & (F.col("label") != F.col("label_b")) & _may_link("", "", ratio, "_b"))
+        .select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))
         .distinct()
     )
-    rest = persist_reliably(estimated(left.join(edges, ["a", "b"], "left_anti"), classes))
+    rest = persist_reliably(estimated(left, classes))
     more = persist_reliably(confirmed(rest, texts, ratio))
     final = components(edges.unionByName(more)).withColumnRenamed("id", "cid")
     ids = classes.select("cid", "key", F.col("at.doc_id").alias("least")).join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
