@@ -33,7 +33,7 @@ MARK = "▁"
 #: Characters above which a text is cut into chunks of this size that are encoded in parallel.
 CHUNK = 1 << 16
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 START = -1
 FOREVER = float("inf")

@@ -23,6 +23,8 @@ PASSAGE_BYTES = 1024
 #: and at most this many evenly spaced passages of each.
 FIT_DOCUMENTS = 6_000
 FIT_PASSAGES = 48
+#: Bytes of text encoded at a time; the arrays take about a hundred times as much.
+SLICE = 1 << 19
 HIDDEN = 16
 STEPS = 400
 
@@ -271,7 +273,7 @@ def score_quality(docs: DataFrame, model: AttentionModel | float) -> DataFrame:
             out, at = [], 0
             while at < len(texts):
                 part, held = [], 0
-                while at < len(texts) and held < 2 << 20:
+                while at < len(texts) and held < SLICE:
                     part.append(texts[at].as_py())
                     held += len(part[-1])
                     at += 1
@@ -298,7 +300,7 @@ def keep_quality(docs: DataFrame, model: AttentionModel | float, at_least: float
             passed, at = [], 0
             while at < len(texts):
                 part, held = [], 0
-                while at < len(texts) and held < 2 << 20:
+                while at < len(texts) and held < SLICE:
                     part.append((texts[at].as_py() or "").encode())
                     held += len(part[-1])
                     at += 1
