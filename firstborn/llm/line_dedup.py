@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import persist_reliably
+from ..session import drop_tables, persist_reliably, table_scope
 from .common import SPACES, WORD_BREAK, whole_text
 from .outliers import let
 
@@ -181,7 +181,10 @@ def dedup_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFram
     """
     names = docs.columns
     slim = docs.select("doc_id", F.xxhash64(whole_text()).alias("tie"), whole_text().alias("text"))
-    gone = persist_reliably(removed_lines(slim, similar))
+    with table_scope() as spent:
+        found = removed_lines(slim, similar)
+    gone = persist_reliably(found)
+    drop_tables(docs.sparkSession, spent)
     keyed = docs.select(F.struct(*names).alias("row"), "doc_id", F.xxhash64(whole_text()).alias("tie"))
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains(F.col("removed"), i)), "\n")
     named = gone.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "removed")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_reliably
+from ..session import drop_tables, persist_reliably, table_scope
 from .common import SPACES, whole_text
 from .components import components
 
@@ -291,12 +291,14 @@ def keep_first_of_group(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) ->
     component's id, leave one row; null ids come last.
     """
     names = docs.columns
-    judged = near_duplicates(docs, ratio).filter("n_shingles > 0 and kept")
+    with table_scope() as spent:
+        judged = near_duplicates(docs, ratio).filter("n_shingles > 0 and kept")
     # Of the rows with the component's id, those with the least hash of the text.
     firsts = judged.groupBy("component_id", "tie").agg(F.count("*").alias("_rows")).groupBy("component_id").agg(
         F.min(F.struct(F.col("tie").alias("_tie"), "_rows")).alias("f")
     )
     firsts = persist_reliably(firsts.select(F.col("component_id").alias("_doc"), "f.*"))
+    drop_tables(docs.sparkSession, spent)
     keyed = docs.withColumn("_key", F.xxhash64(whole_text()))
     blank = F.btrim(whole_text(), F.lit(SPACES)) == ""
     chosen = keyed.filter(~blank).join(firsts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_tie")))
