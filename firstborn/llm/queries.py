@@ -10,6 +10,7 @@ from .common import ORACLES, QUERIES, query, table
 from .line_dedup import dedup_lines
 from .mixing import mix, taken_words, word_sizes
 from .near_dedup import near_duplicates
+from .oracles import LINE_DEDUP, NEAR_DEDUP, VECTOR_DEDUP
 from .outliers import quality_rules
 from .piece_codec import digests, encode_pieces
 from .quality import fit_quality, held_out, score_quality
@@ -67,7 +68,7 @@ def op7_robust_outliers(spark, sf):
     )
 
 
-@query("op9_line_dedup")
+@query("op9_line_dedup", LINE_DEDUP)
 def op9_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
@@ -75,12 +76,12 @@ def op9_line_dedup(spark, sf):
     )
 
 
-@query("op2_near_dedup")
+@query("op2_near_dedup", NEAR_DEDUP)
 def op2_near_dedup(spark, sf):
     return near_duplicates(table(spark, sf, "documents")).drop("tie")
 
 
-@query("op10_vector_dedup")
+@query("op10_vector_dedup", VECTOR_DEDUP)
 def op10_vector_dedup(spark, sf):
     return link_vectors(table(spark, sf, "embeddings"))
 
