@@ -33,7 +33,7 @@ MARK = "▁"
 #: Characters above which a text is cut into chunks of this size that are encoded in parallel.
 CHUNK = 1 << 16
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 START = -1
 FOREVER = float("inf")
@@ -309,7 +309,7 @@ def _encode_words(path: str, remembered: int):
             at = 0
             while at < len(texts):
                 begin, cut, held = at, [], 0
-                while at < len(texts) and held < 2 << 20:
+                while at < len(texts) and held < 1 << 19:
                     cut.append(words_of(model.normal(texts[at])) if texts[at] else [])
                     held += len(texts[at])
                     at += 1
