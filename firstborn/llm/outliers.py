@@ -28,7 +28,7 @@ CUTOFF = 28.5
 #: group must not make small changes outliers.
 FLOORS = {"x_length": 0.12, "x_symbols": 0.06, "x_lines": 0.2, "x_repeats": 0.15}
 STATISTICS = tuple(FLOORS)
-#: Groups with fewer rows take the estimate of their language, and that failing of all rows.
+#: Groups with fewer used rows take the estimate of all used rows of their language, and that failing of all used rows.
 FEWEST = 100
 STEPS = 3
 
@@ -147,19 +147,23 @@ def transformed(stats: DataFrame) -> DataFrame:
 
 
 def estimation_groups(rows: DataFrame, fewest: int) -> DataFrame:
-    """Adds grp: (lang, source), or (lang) or everything where there are too few rows."""
+    """Adds grp, the estimate that judges the row, and grps, the estimates that it enters if used.
+
+    A row is judged by its (lang, source), by its lang or by everything, the first that has
+    enough used rows.  Every used row of a language or of everything enters that estimate;
+    estimates that judge no row are left out.
+    """
     pair = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     lang = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
     named = rows.withColumns({"_pair": pair, "_lang": lang})
-    used = named.filter("used")
-    by_lang = used.groupBy("_lang").agg(F.count("*").alias("_nl"))
-    by_pair = used.groupBy("_pair").agg(F.count("*").alias("_np"))
-    return (
-        named.join(by_pair, "_pair", "left")
-        .join(by_lang, "_lang", "left")
-        .withColumn("grp", F.when(F.col("_np") >= fewest, F.col("_pair")).when(F.col("_nl") >= fewest, F.col("_lang")).otherwise(F.lit("")))
-        .drop("_pair", "_lang", "_np", "_nl")
-    )
+    pairs = persist_reliably(named.groupBy("_pair", "_lang").agg(F.count("*").alias("_rows"), F.count_if("used").alias("_np")))
+    few_pair, few_lang = F.col("_np") < fewest, F.col("_nl") < fewest
+    langs = persist_reliably(pairs.groupBy("_lang").agg(F.sum("_np").alias("_nl"), F.max(few_pair).alias("_asked")))
+    every = langs.agg(F.max(few_lang).alias("_every"))  # one row
+    grp = F.when(~few_pair, F.col("_pair")).when(~few_lang, F.col("_lang")).otherwise(F.lit(""))
+    entered = F.array(F.when(~few_pair, F.col("_pair")), F.when(F.col("_asked") & ~few_lang, F.col("_lang")), F.when(F.col("_every"), F.lit("")))
+    chosen = pairs.join(langs, "_lang").join(F.broadcast(every), F.lit(True)).select("_pair", "_rows", grp.alias("grp"), F.array_compact(entered).alias("grps"))
+    return skew_join(named, persist_reliably(chosen), ["_pair"], size="_rows", spread="doc_id").drop("_pair", "_lang", "_rows")
 
 
 def _distance(mean: str, root: str) -> Column:
@@ -210,7 +214,7 @@ def covariance_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
     Starts: coordinate medians with median absolute deviations, and with the floors as scales.
     """
-    used = rows.filter("used").select("grp", *STATISTICS)
+    used = rows.filter("used").select(F.explode("grps").alias("grp"), *STATISTICS)
     middle = persist_reliably(
         used.groupBy("grp").agg(
             F.count("*").alias("_rows"), *[F.percentile(F.round(x, 2), F.lit(0.5)).alias(f"_m{i}") for i, x in enumerate(STATISTICS)]

@@ -133,6 +133,24 @@ def test_outliers(frame, odd_rows):
     assert quality_rules(frame([(1, None), (2, "a b")])).count() == 2
 
 
+def test_outliers_of_rare_groups(frame):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+
+    def text(bad=False):
+        return " ".join(word() + "###" * bad for _ in range(rng.randint(60, 200)))
+
+    rows = [(d, text(), "fr", "web") for d in range(300)] + [(d, text(), None, "web") for d in range(300, 500)]
+    # A rare source of a large language, and rare languages: alone, in twos and in fives.
+    rare = [("fr", "alone", 1), ("fr", None, 2), ("fr", "five", 5), ("it", "web", 1), ("pt", None, 2), (None, "five", 5)]
+    bad = {1000 + 100 * i + k: (lang, source) for i, (lang, source, n) in enumerate(rare) for k in range(n)}
+    rows += [(d, text(True), *group) for d, group in bad.items()]
+    rows += [(2000, text(), "fr", "other"), (2001, text(), "xx", "other")]
+    got = {r.doc_id: r for r in quality_rules(frame(rows)).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert [d for d in got if got[d].kept == (d in bad)] == []
+
+
 def labelled():
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
