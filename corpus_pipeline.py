@@ -15,6 +15,8 @@ from firstborn.llm.quality import fit_quality, keep_quality
 from firstborn.session import scratch_path
 
 QUALITY_KEPT = 0.3
+#: Similarity of 0.8 or more, as for lines.
+NEAR = (4, 5)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.85): the least doc_id."""
-    return keep_first_of_group(docs.select(*DOCUMENTS))
+    """One document of each group of near duplicates (five-word shingles, similarity NEAR): the least doc_id."""
+    return keep_first_of_group(docs.select(*DOCUMENTS), NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

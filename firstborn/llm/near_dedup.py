@@ -5,9 +5,9 @@ Inverted lists of retained values bring together documents that overlap, the ske
 union estimates their similarity, and whole shingle sets decide.  Documents with equal sets
 are one class from the start.
 
-Two documents of similarity s share about s*k retained values, so only the rarest
-k - SHARED + 1 of them need a list (a prefix filter): values of passages that many documents
-quote come last and drop out.  A set of at most k shingles is its own sketch, and the bound
+Two documents of similarity s share about s*k retained values.  If they hardly ever share
+fewer than c, only the rarest k - c + 1 need a list (a prefix filter): values of passages that
+many documents quote come last and drop out.  A set of at most k shingles is its own sketch, and the bound
 is exact; there the place of a value in both documents' order of rarity must also leave room
 for the overlap.  In a list every class is first compared with one leader; after that only
 classes still in different components are.  No pair that could add a link between components
@@ -16,7 +16,9 @@ is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,13 +35,11 @@ from .components import components
 SHINGLE = 5
 #: Retained values with inverted lists.
 RETAINED = 256
-#: Retained values that two documents of similarity 0.85 share but for one case in four million:
-#: the lower tail of a binomial (256, 0.85).
-SHARED = 183
 #: Retained values kept for estimates.
 SKETCH = 64
-#: Estimates below this are more than five standard errors under the threshold.
-LEAST_ESTIMATE = 0.6
+#: Linked pairs of more than RETAINED shingles that the prefix filter, and that the estimate, may
+#: miss at most, at any threshold.
+MISSED, MISSED_ESTIMATE = 2e-8, 1e-6
 #: Values are counted by this many hash buckets: a fixed table, whatever the corpus.
 BUCKETS = 1 << 22
 #: Parts in which the tasks' tables are added up.
@@ -102,12 +102,32 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(found[p], np.int32) if p in found else np.zeros(BUCKETS // PARTS, np.int32) for p in range(PARTS)])
 
 
+@cache
+def least_common(size: int, similar: float, missed: float) -> int:
+    """What the sketches of ``size`` values of two sets of this similarity share at least, but for a share ``missed`` of pairs.
+
+    The lower tail of a binomial (size, similar): the common values among the least of the union
+    are drawn without replacement, which strays less.
+    """
+    tail, count = 0.0, 0
+    while count < size:
+        tail += math.comb(size, count) * similar**count * (1 - similar) ** (size - count)
+        if tail > missed:
+            break
+        count += 1
+    if not count:
+        raise ValueError(f"sketches of {size} values cannot find pairs of similarity {similar}")
+    return count
+
+
 def listed(size: int, similar: float) -> int:
     """How many of a set's retained values, rarest first, need an inverted list."""
+    overlap = int(np.ceil(similar * size - 1e-9))
     # If the other set must fit its sketch too, both sketches are whole sets and the bound is exact.
     if size / similar <= RETAINED:
-        return size - int(np.ceil(similar * size - 1e-9)) + 1
-    return min(size, RETAINED) - SHARED + 1
+        return size - overlap + 1
+    # A union within the sketch is whole, and only the overlap is sure; of a larger one the sketch shares a sample.
+    return min(size, RETAINED) - min(least_common(RETAINED, similar, MISSED), overlap) + 1
 
 
 def _sketcher(counts: np.ndarray, similar: float):
@@ -150,14 +170,15 @@ def sketches(docs: DataFrame, similar: float) -> DataFrame:
     )
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, similar: float) -> DataFrame:
     """The pairs a, b whose union sketch does not rule them out."""
+    least = least_common(SKETCH, similar, MISSED_ESTIMATE) / SKETCH
     left = classes.select(F.col("cid").alias("a"), F.col("sketch").alias("_sa"))
     right = classes.select(F.col("cid").alias("b"), F.col("sketch").alias("_sb"))
     union = F.slice(F.array_sort(F.transform(F.array_union("_sa", "_sb"), _unsigned)), 1, SKETCH)
     both = F.array_intersect(F.transform("_sa", _unsigned), F.transform("_sb", _unsigned))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", union.alias("_u"), both.alias("_i"))
-    return joined.filter(F.size(F.array_intersect("_u", "_i")) >= F.size("_u") * LEAST_ESTIMATE).select("a", "b")
+    return joined.filter(F.size(F.array_intersect("_u", "_i")) >= F.size("_u") * least).select("a", "b")
 
 
 def _unsigned(value):
@@ -231,7 +252,8 @@ def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> Data
     lists = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
     shared = persist_reliably(postings.join(lists, "value"))
     # Sizes of linked sets differ by less than a band, so a pair meets in one band or the next.
-    band = F.floor(F.ln("n") / -np.log(similar)).cast("int")
+    # The margin keeps sizes exactly a band apart from being rounded two bands apart.
+    band = F.floor(F.ln("n") / (-np.log(similar) * (1 + 1e-9))).cast("int")
     banded = persist_reliably(shared.withColumn("band", F.explode(F.array(band, band + 1))))
     # The class with the fewest rarer values of its own leads: among edited copies, the original.
     groups = banded.groupBy("value", "band").agg(F.min(F.struct("place", "cid", "n")).alias("leader"), F.count("*").alias("df")).filter("df > 1")
@@ -249,7 +271,7 @@ def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> Data
     texts = persist_reliably(
         raw.join(wanted, ["tie"]).filter(F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cid", "text").dropDuplicates(["cid"])
     )
-    edges = persist_reliably(confirmed(persist_reliably(estimated(star, classes)), texts, ratio))
+    edges = persist_reliably(confirmed(persist_reliably(estimated(star, classes, similar)), texts, ratio))
     found = components(edges)
 
     # What a leader did not settle: classes of one list that are in different components.
@@ -270,7 +292,7 @@ def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> Data
         .select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))
         .distinct()
     )
-    rest = persist_reliably(estimated(left, classes))
+    rest = persist_reliably(estimated(left, classes, similar))
     more = persist_reliably(confirmed(rest, texts, ratio))
     final = components(edges.unionByName(more)).withColumnRenamed("id", "cid")
     ids = classes.select("cid", "key", F.col("at.doc_id").alias("least")).join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

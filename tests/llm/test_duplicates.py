@@ -81,6 +81,25 @@ def test_near_duplicates(frame, odd_rows, seed):
     assert kept == sorted([*blank, *{least[r] for i, r in root.items() if sets[i] and r in least}])
 
 
+@pytest.mark.parametrize("ratio", [(4, 5), (7, 10), (1, 2)])
+def test_near_duplicates_at_other_ratios(frame, ratio):
+    """Pairs about the threshold, small and of more than 256 shingles, each with words of its own."""
+    part, whole = ratio
+    rng = random.Random(whole)
+    rows, want = [], {}
+    for i in range(120):
+        word = iter(f"p{i}w{k}" for k in range(10_000)).__next__
+        common = rng.randint(30, 150) if i % 3 == 0 else rng.randint(250, 900)
+        apart = common * (whole - part) // part + (0, 0, -1, 1, 3)[i % 5]
+        first = rng.choice([0, apart // 2, rng.randint(0, apart)])
+        head = [word() for _ in range(common + 4)]
+        rows += [(2 * i + j, " ".join([*head, *(word() for _ in range(n))])) for j, n in enumerate((first, apart - first))]
+        want[2 * i] = 2 * i
+        want[2 * i + 1] = 2 * i + (whole * common < part * (common + apart))
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(rows), ratio).collect()}
+    assert {d: (c, want[d]) for d, c in got.items() if c != want[d]} == {} and len(got) == len(rows)
+
+
 def test_near_duplicates_of_nothing(frame):
     assert near_duplicates(frame([])).count() == 0
     assert keep_first_of_group(frame([])).count() == 0
