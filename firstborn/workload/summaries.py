@@ -319,12 +319,17 @@ def _partitions(spark, sf):
 
 
 def _exact(spark, sf):
-    rows, _, parts = _partitions(spark, sf)
+    """The series with their lengths, and every clustering of those short enough to enumerate."""
+    rows, series, parts = _partitions(spark, sf)
     pairs = exact.partition_rows(parts, ["series"]).join(rows.drop("cluster"), ["series", "obs"])
     scored = lk.joint_score(pairs, LENGTHS, STICKS, ["series", "code"], levels=1)
-    return exact.exact_posterior(scored, ["series"])
+    return series, exact.exact_posterior(scored, ["series"])
 
 
+def _with_too_long(out, series):
+    """``out`` and one row without values for every series that is too long to enumerate."""
+    return out.unionByName(exact.too_long(series, ["series"]).select("series"), allowMissingColumns=True)
+
 
 def label_text():
     return F.concat_ws("-", F.transform(exact.code_labels(), lambda v: v.cast("string"))).alias("labels")
@@ -342,7 +347,9 @@ def u2(spark, sf):
 
 @query("m20_exact_posterior", f"""WITH RECURSIVE {TU}, {PARTS}, {SCORED} SELECT series, array_to_string(labels, '-') AS labels, round(js, 5) AS joint_score, round(probability, 7) AS probability FROM px""")
 def m20(spark, sf):
-    return _exact(spark, sf).select("series", label_text(), r("joint_score", 5).alias("joint_score"), r("probability", 7).alias("probability"))
+    series, scored = _exact(spark, sf)
+    out = scored.select("series", label_text(), r("joint_score", 5).alias("joint_score"), r("probability", 7).alias("probability"))
+    return _with_too_long(out, series)
 
 
 @query("m21_validation_table", f"""WITH RECURSIVE {TD}, {PARTS}, {SCORED}, {SIG}, {SE}
@@ -350,8 +357,9 @@ SELECT px.series, array_to_string(px.labels, '-') AS labels, round(probability,
 coalesce(abs(probability - frequency) <= 1.96 * se, FALSE) AS covered FROM px LEFT JOIN se ON se.series = px.series AND se.z = px.labels""")
 def m21(spark, sf):
     rows = turns(spark, sf)
-    out = exact.validation_table(_exact(spark, sf), turn_draws(rows), ["series"], DRAWS)
-    return out.select(
+    series, scored = _exact(spark, sf)
+    table = exact.validation_table(scored, turn_draws(rows), ["series"], DRAWS)
+    out = table.select(
         "series",
         label_text(),
         r("probability", 7).alias("probability"),
@@ -359,6 +367,7 @@ def m21(spark, sf):
         r("half_width").alias("half_width"),
         "covered",
     )
+    return _with_too_long(out, series)
 
 
 # --- grid posteriors --------------------------------------------------------

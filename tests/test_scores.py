@@ -129,3 +129,13 @@ def test_counts_predictive_is_a_marginal_ratio(spark):
     ratio = lk.dirichlet_marginal(both, model).first().log_marginal - lk.dirichlet_marginal(first, model).first().log_marginal
     coefficient = math.lgamma(4) - math.lgamma(2) - math.lgamma(3)
     assert got == pytest.approx(ratio + coefficient, abs=1e-10)
+
+
+@pytest.mark.parametrize("name", ["m20_exact_posterior", "m21_validation_table"])
+def test_series_too_long_to_enumerate_are_listed(spark, tmp_path, name):
+    import __spark_entry__ as contract
+
+    turns = [(series, turn, "user" if turn % 2 else "assistant", "x" * (turn + 1)) for series, n in ((1, 2), (2, 13)) for turn in range(n)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = contract.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted((r.series, r.labels or "", r.probability is None) for r in got) == [(1, "1-1", False), (1, "1-2", False), (2, "", True)]
