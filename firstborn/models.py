@@ -75,12 +75,19 @@ class GaussianModel:
 
 @dataclass(frozen=True)
 class CountModel:
-    """Dirichlet-multinomial counts; ``scale`` is one number for all terms or one per term."""
+    """Dirichlet-multinomial counts; ``scale`` is one number for all terms or one per term.
+
+    ``counts_per_observation`` is what one observation counts in all, for simulated data; no
+    score depends on it.
+    """
 
     dim: int
     scale: float | Mapping[str, float] = 1.0
+    counts_per_observation: int = 1
 
     def __post_init__(self):
+        if self.counts_per_observation < 1:
+            raise ValueError("counts_per_observation must be at least 1")
         per_term = isinstance(self.scale, Mapping)
         _positive("scale", *(self.scale.values() if per_term else [self.scale]))
         if self.dim < 2 or per_term and len(self.scale) != self.dim:
