@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
 from .line_dedup import dedup_lines
+from .merkle import build_manifest, hex_text, parent_digest, prove
+from .merkle_sql import MERKLE
 from .mixing import mix, taken_words, word_sizes
 from .near_dedup import near_duplicates
 from .oracles import LINE_DEDUP, NEAR_DEDUP, VECTOR_DEDUP
@@ -91,3 +93,11 @@ def op5_suffix_dedup(spark, sf):
     return repeated_spans(table(spark, sf, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256")
     )
+
+
+@query("op11_merkle_manifest", MERKLE)
+def op11_merkle_manifest(spark, sf):
+    proofs = prove(build_manifest(table(spark, sf, "documents")))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", hex_text(parent_digest(F.col("siblings"))).alias("proof_sha256"), "folded_root", "verified"
+    )
