@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
+from .hard_negatives import mine_hard_negatives
 from .line_dedup import dedup_lines
 from .merkle import build_manifest, hex_text, parent_digest, prove
 from .merkle_sql import MERKLE
 from .mixing import mix, taken_words, word_sizes
 from .near_dedup import near_duplicates
-from .oracles import LINE_DEDUP, NEAR_DEDUP, VECTOR_DEDUP
+from .oracles import HARD_NEGATIVES, LINE_DEDUP, NEAR_DEDUP, VECTOR_DEDUP
 from .outliers import quality_rules
 from .piece_codec import digests, encode_pieces
 from .quality import fit_quality, held_out, score_quality
@@ -101,3 +102,9 @@ def op11_merkle_manifest(spark, sf):
     return proofs.select(
         "doc_id", "leaf", "subroot", "root", hex_text(parent_digest(F.col("siblings"))).alias("proof_sha256"), "folded_root", "verified"
     )
+
+
+@query("op13_hard_negatives", HARD_NEGATIVES)
+def op13_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf, "embeddings"), label, F.col("vec_id") % 100 == 0)
