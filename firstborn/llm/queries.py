@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import persist_reliably, scratch_path
 from .common import ORACLES, QUERIES, query, table
 from .hard_negatives import mine_hard_negatives
+from .license_scan import scan_licenses
+from .license_sql import LICENSES
 from .line_dedup import dedup_lines
 from .merkle import build_manifest, hex_text, parent_digest, prove
 from .merkle_sql import MERKLE
@@ -108,3 +110,8 @@ def op11_merkle_manifest(spark, sf):
 def op13_hard_negatives(spark, sf):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_hard_negatives(table(spark, sf, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_license_scan", LICENSES)
+def op12_license_scan(spark, sf):
+    return scan_licenses(table(spark, sf, "documents")).drop("spans")
