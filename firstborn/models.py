@@ -159,15 +159,21 @@ class DirichletProcessPrior:
 
 @dataclass(frozen=True)
 class SamplerSettings:
-    """Settings shared by both kernels; one chain per entry of ``starts``."""
+    """Settings shared by both kernels; one chain per entry of ``starts``.
+
+    ``splits`` is the number of rounds of split and merge moves in a sweep.
+    """
 
     iterations: int = 1000
     burn_in: int = 0
     skip: int = 1
     starts: tuple[str, ...] = ("random",)
     seed: int = 1
+    splits: int = 1
 
     def __post_init__(self):
+        if self.splits < 0:
+            raise ValueError("splits is a number of rounds")
         if self.iterations < 1 or self.skip < 1 or self.burn_in < 0:
             raise ValueError("iterations and skip start at 1, burn_in at 0")
         if any(s not in START_TYPES for s in self.starts):
