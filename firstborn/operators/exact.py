@@ -1,4 +1,4 @@
-"""Exact posteriors over all partitions of short series."""
+"""Exact posteriors: over all partitions of short series, over candidate clusterings of any."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .draws import batch_standard_errors, clustering_frequencies, normalised_weights, signatures
+from .joins import skew_join
 
 LONGEST = 12
 #: Observations whose labels fit one packed code.
@@ -20,8 +21,8 @@ def all_partitions(series: DataFrame, by: Sequence[str], longest: int, limit: in
 
     Each round appends one observation: it joins a label already present or
     opens its own.  The count grows as Bell numbers, so longer series have no
-    rows here: ``too_long`` lists them, and candidate clusterings of theirs can be
-    scored with ``joint_score``.  ``longest`` is the largest n present.  Rows are
+    rows here: ``too_long`` lists them, and ``candidate_clusterings`` gives
+    candidates of theirs.  ``longest`` is the largest n present.  Rows are
     spread again halfway so that one long series does not stay in one task.
     ``code`` packs the labels into one integer, four bits each, which names the
     clustering exactly in later joins.
@@ -67,6 +68,31 @@ def partition_rows(partitions: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def candidate_clusterings(draws: DataFrame, by: Sequence[str], given: DataFrame | None = None) -> DataFrame:
+    """Distinct clusterings ``(by, candidate, obs, cluster)`` of series of any length.
+
+    ``draws(by, iteration, obs, cluster)`` has canonical labels and iterations from 1, and so has
+    ``given(by, obs, cluster)``, one more clustering per series.  ``candidate`` is the first
+    iteration that has the clustering, 0 for the given one.  Clusterings are told apart by
+    fingerprints, so none is gathered.
+    """
+    columns = [*by, "iteration", "obs", "cluster"]
+    every = draws.select(*columns)
+    if given is not None:
+        every = every.unionByName(given.withColumn("iteration", F.lit(0)).select(*columns))
+    sized = every.groupBy(*by, "iteration").agg(F.count("*").alias("_rows"))
+    first = signatures(every, [*by, "iteration"]).groupBy(*by, "sig_a", "sig_b").agg(F.min("iteration").alias("iteration"))
+    kept = first.select(*by, "iteration").join(sized, [*by, "iteration"])
+    out = skew_join(every, kept, [*by, "iteration"], size="_rows", spread="obs")
+    return out.withColumnRenamed("iteration", "candidate").drop("_rows")
+
+
+def candidate_posterior(scores: DataFrame, by: Sequence[str], score: str = "joint_score") -> DataFrame:
+    """Posterior probability of each candidate given that it is one of its series' ``candidates``."""
+    sets = scores.groupBy(*by).agg(F.count("*").alias("candidates"))
+    return exact_posterior(skew_join(scores, sets, by, size="candidates", spread=score), by, score)
+
+
 def exact_posterior(scores: DataFrame, by: Sequence[str], score: str = "joint_score") -> DataFrame:
     """Posterior probability of each candidate clustering, by a shifted log-sum-exp."""
     return normalised_weights(scores, score, by, "probability")
@@ -84,12 +110,16 @@ def clustering_intervals(
 
 
 def validation_table(
-    exact: DataFrame, draws: DataFrame, by: Sequence[str], draws_per_chain: int
+    exact: DataFrame, draws: DataFrame, by: Sequence[str], draws_per_chain: int, candidates: DataFrame | None = None
 ) -> DataFrame:
-    """Exact probability against the sampled interval, one row per clustering."""
-    folded = partition_rows(exact.select(*by, "code"), by)
-    sigs = signatures(folded, [*by, "code"])
-    targets = exact.join(sigs, [*by, "code"])
+    """Exact probability against the sampled interval, one row per clustering.
+
+    ``exact`` names clusterings by ``code``, or by ``candidate`` of ``candidates``.
+    """
+    name = "code" if candidates is None else "candidate"
+    folded = partition_rows(exact.select(*by, "code"), by) if candidates is None else candidates
+    sigs = signatures(folded, [*by, name])
+    targets = exact.join(sigs, [*by, name])
     table = clustering_intervals(draws, targets, by, draws_per_chain)
     low, high = F.col("frequency") - F.col("half_width"), F.col("frequency") + F.col("half_width")
     return table.withColumn("covered", F.col("probability").between(low, high)).drop("sig_a", "sig_b")

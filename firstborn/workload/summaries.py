@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import draws as dr, exact, labels, likelihood as lk, similarity as sim
 from ..plans import grids
+from ..session import persist_reliably
 from .base import (
     DR, DRAWS, EA, LENGTHS, STICKS, TD, TU, UA,
     draws, events, gaussian_marginal_sql, h52, lb, query, r, table, turn_draws, turn_lengths, turns, users,
@@ -303,12 +304,19 @@ LV = (0.25, 5.0, 1.0)
 PARTS = """nn AS (SELECT series, count(*) AS n FROM ta GROUP BY 1),
 parts AS (SELECT series, n, 1::BIGINT AS i, [1::BIGINT] AS labels FROM nn WHERE n <= 12
   UNION ALL SELECT series, n, i + 1, list_append(labels, c.c) FROM parts, LATERAL (SELECT unnest(list_append(list_distinct(labels), i + 1)) AS c) c WHERE i < n),
-pz AS (SELECT series, labels FROM parts WHERE i = n)"""
-SCORED = f"""pl AS (SELECT series, labels, unnest(labels) AS cluster, generate_subscripts(labels, 1) AS obs FROM pz),
+pz AS (SELECT series, labels, NULL::INTEGER AS candidate FROM parts WHERE i = n)"""
+# Series too long to enumerate: their roles' clustering and their distinct draws.
+CANDIDATES = """cz AS (SELECT series, z AS labels, min(iteration)::INTEGER AS candidate FROM (SELECT series, iteration, list(cluster ORDER BY obs) AS z FROM
+    (SELECT series, 0 AS iteration, obs, cluster FROM ta UNION ALL SELECT series, iteration, obs, cluster FROM td) GROUP BY ALL)
+  WHERE series IN (SELECT series FROM nn WHERE n > 12) GROUP BY ALL)"""
+SCORED = f"""{CANDIDATES}, pc AS (SELECT * FROM pz UNION ALL SELECT series, labels, candidate FROM cz),
+pl AS (SELECT series, labels, unnest(labels) AS cluster, generate_subscripts(labels, 1) AS obs FROM pc),
 pg AS (SELECT series, labels, pl.cluster, count(*) AS n_k, sum(x) AS s, sum(x * x) AS q FROM pl JOIN ta USING (series, obs) GROUP BY ALL),
 ph AS (SELECT *, (coalesce(sum(n_k) OVER (PARTITION BY series, labels ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - (cluster - 1))::BIGINT AS comp FROM pg),
 pj AS (SELECT series, labels, sum({gaussian_marginal_sql('n_k', 's', 'q', *LV)}) + sum({STICK_TERM}) + {lb('1.5::DOUBLE + count(*) - 1', '4.0::DOUBLE + sum(n_k)::DOUBLE - count(*)')} - {LBP} AS js FROM ph GROUP BY ALL),
-px AS (SELECT series, labels, js, exp(js - max(js) OVER w) / sum(exp(js)) OVER w * exp(max(js) OVER w) AS probability FROM pj WINDOW w AS (PARTITION BY series))"""
+pm AS (SELECT *, js - max(js) OVER (PARTITION BY series) AS above FROM pj),
+px AS (SELECT series, labels, candidate, CASE WHEN candidate IS NULL THEN array_to_string(labels, '-') END AS label, js, count(*) OVER w AS candidates,
+  exp(above) / sum(exp(above)) OVER w AS probability FROM pm JOIN pc USING (series, labels) WINDOW w AS (PARTITION BY series))"""
 
 
 def _partitions(spark, sf):
@@ -318,17 +326,33 @@ def _partitions(spark, sf):
     return rows, series, exact.all_partitions(series, ["series"], longest)
 
 
-def _exact(spark, sf):
-    """The series with their lengths, and every clustering of those short enough to enumerate."""
+NAMES = ["series", "labels", "candidate", "candidates"]
+
+
+def _enumerated(spark, sf):
+    """Every clustering of the series short enough to enumerate, scored."""
     rows, series, parts = _partitions(spark, sf)
     pairs = exact.partition_rows(parts, ["series"]).join(rows.drop("cluster"), ["series", "obs"])
     scored = lk.joint_score(pairs, LENGTHS, STICKS, ["series", "code"], levels=1)
-    return series, exact.exact_posterior(scored, ["series"])
+    return rows, series, exact.candidate_posterior(scored, ["series"])
+
 
+def _candidates(rows, series, sampled):
+    """Of longer series the distinct draws and the clustering by role; their rows and their scores."""
+    long = exact.too_long(series, ["series"]).select("series")
+    given = rows.select("series", "obs", "cluster").join(long, "series", "left_semi")
+    found = persist_reliably(exact.candidate_clusterings(sampled.join(long, "series", "left_semi"), ["series"], given))
+    pairs = found.join(rows.drop("cluster"), ["series", "obs"])
+    scored = lk.joint_score(pairs, LENGTHS, STICKS, ["series", "candidate"], levels=1)
+    return found, exact.candidate_posterior(scored, ["series"])
 
-def _with_too_long(out, series):
-    """``out`` and one row without values for every series that is too long to enumerate."""
-    return out.unionByName(exact.too_long(series, ["series"]).select("series"), allowMissingColumns=True)
+
+def _named(short, long):
+    """Enumerated clusterings by their labels, candidates by their number."""
+    one = short.withColumns({"labels": label_text(), "candidate": F.lit(None).cast("int")})
+    two = long.withColumn("labels", F.lit(None).cast("string"))
+    columns = [c for c in one.columns if c in two.columns]
+    return one.select(*columns).unionByName(two.select(*columns))
 
 
 def label_text():
@@ -345,29 +369,25 @@ def u2(spark, sf):
     return parts.select("series", label_text()).unionByName(left_out)
 
 
-@query("m20_exact_posterior", f"""WITH RECURSIVE {TU}, {PARTS}, {SCORED} SELECT series, array_to_string(labels, '-') AS labels, round(js, 5) AS joint_score, round(probability, 7) AS probability FROM px""")
+@query("m20_exact_posterior", f"""WITH RECURSIVE {TD}, {PARTS}, {SCORED} SELECT series, label AS labels, candidate, candidates, round(js, 5) AS joint_score, round(probability, 7) AS probability FROM px""")
 def m20(spark, sf):
-    series, scored = _exact(spark, sf)
-    out = scored.select("series", label_text(), r("joint_score", 5).alias("joint_score"), r("probability", 7).alias("probability"))
-    return _with_too_long(out, series)
+    """All clusterings of short conversations; of longer ones the candidates, normalised over their set."""
+    rows, series, short = _enumerated(spark, sf)
+    _, long = _candidates(rows, series, turn_draws(rows))
+    return _named(short, long).select(*NAMES, r("joint_score", 5).alias("joint_score"), r("probability", 7).alias("probability"))
 
 
 @query("m21_validation_table", f"""WITH RECURSIVE {TD}, {PARTS}, {SCORED}, {SIG}, {SE}
-SELECT px.series, array_to_string(px.labels, '-') AS labels, round(probability, 7) AS probability, coalesce(frequency, 0) AS frequency, round(coalesce(1.96 * se, 0), 6) AS half_width,
+SELECT px.series, px.label AS labels, candidate, candidates, round(probability, 7) AS probability, coalesce(frequency, 0) AS frequency, round(coalesce(1.96 * se, 0), 6) AS half_width,
 coalesce(abs(probability - frequency) <= 1.96 * se, FALSE) AS covered FROM px LEFT JOIN se ON se.series = px.series AND se.z = px.labels""")
 def m21(spark, sf):
-    rows = turns(spark, sf)
-    series, scored = _exact(spark, sf)
-    table = exact.validation_table(scored, turn_draws(rows), ["series"], DRAWS)
-    out = table.select(
-        "series",
-        label_text(),
-        r("probability", 7).alias("probability"),
-        "frequency",
-        r("half_width").alias("half_width"),
-        "covered",
+    rows, series, short = _enumerated(spark, sf)
+    sampled = turn_draws(rows)
+    found, long = _candidates(rows, series, sampled)
+    tables = [exact.validation_table(short, sampled, ["series"], DRAWS), exact.validation_table(long, sampled, ["series"], DRAWS, found)]
+    return _named(*tables).select(
+        *NAMES, r("probability", 7).alias("probability"), "frequency", r("half_width").alias("half_width"), "covered"
     )
-    return _with_too_long(out, series)
 
 
 # --- grid posteriors --------------------------------------------------------

@@ -132,10 +132,34 @@ def test_counts_predictive_is_a_marginal_ratio(spark):
 
 
 @pytest.mark.parametrize("name", ["m20_exact_posterior", "m21_validation_table"])
-def test_series_too_long_to_enumerate_are_listed(spark, tmp_path, name):
+def test_series_too_long_to_enumerate_have_candidates(spark, tmp_path, name):
+    """Series of 2, 13 and 40 turns against the SQL; the long ones are scored over their own draws."""
     import __spark_entry__ as contract
-
-    turns = [(series, turn, "user" if turn % 2 else "assistant", "x" * (turn + 1)) for series, n in ((1, 2), (2, 13)) for turn in range(n)]
-    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    import check
+
+    turns = [
+        (series, turn, ("user", "assistant", "tool")[(turn * turn + series) % 3], "x" * (3 + turn * series % 50))
+        for series, n in ((1, 2), (2, 13), (3, 40))
+        for turn in range(n)
+    ]
+    pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    assert check.compare(spark, check.connect(str(tmp_path)), name, str(tmp_path)).startswith("ok")
     got = contract.queries()[name](spark, str(tmp_path)).collect()
-    assert sorted((r.series, r.labels or "", r.probability is None) for r in got) == [(1, "1-1", False), (1, "1-2", False), (2, "", True)]
+    assert sorted(r.labels for r in got if r.series == 1) == ["1-1", "1-2"]
+    for series in (2, 3):
+        mine = [r for r in got if r.series == series]
+        assert all(r.labels is None and r.candidates == len(mine) for r in mine) and len(mine) > 10
+        assert 0 in {r.candidate for r in mine} and sum(r.probability for r in mine) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_candidates_are_the_distinct_draws(spark):
+    drawn = [(s, i, o + 1, c) for s in (1, 2) for i, z in enumerate([[1, 1, 3], [1, 2, 2], [1, 1, 3], [1, 2, 3]], 1) for o, c in enumerate(z)]
+    draws = spark.createDataFrame(drawn, "series int, iteration int, obs bigint, cluster bigint")
+    given = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 2)], "series int, obs bigint, cluster bigint")
+    got = exact.candidate_clusterings(draws, ["series"], given)
+    labels = {}
+    for r in sorted(got.collect(), key=lambda r: r.obs):
+        labels.setdefault((r.series, r.candidate), []).append(r.cluster)
+    assert labels == {
+        (1, 0): [1, 2, 2], (1, 1): [1, 1, 3], (1, 4): [1, 2, 3], (2, 1): [1, 1, 3], (2, 2): [1, 2, 2], (2, 4): [1, 2, 3],
+    }
