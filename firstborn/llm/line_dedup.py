@@ -56,12 +56,13 @@ def token_ranks(docs: DataFrame) -> DataFrame:
 
 
 def ordered_tokens(line: Column, ranks: Column) -> Column:
-    """Distinct tokens, rarest first: the bucket's rank on top of the other bits of the hash, sorted."""
+    """Distinct tokens, rarest first: the bucket's rank on top of the other bits of the hash, sorted.
+
+    Ranks are centred at zero, so that the order of signed numbers is the order of ranks.
+    """
+    centred = lambda h: F.get(ranks, h.bitwiseAND(F.lit(_LOW)).cast("int")).cast("bigint") - (1 << (BUCKET_BITS - 1))
     keyed = F.transform(
-        line_shingles(line),
-        lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(_LOW)).cast("int")).cast("bigint"), 64 - BUCKET_BITS).bitwiseOR(
-            F.shiftrightunsigned(h, BUCKET_BITS)
-        ),
+        line_shingles(line), lambda h: F.shiftleft(centred(h), 64 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS))
     )
     return F.sort_array(F.array_distinct(keyed))
 

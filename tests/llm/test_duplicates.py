@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from firstborn.llm.components import components
-from firstborn.llm.line_dedup import dedup_lines
+from firstborn.llm.line_dedup import BUCKET_BITS, dedup_lines, line_shingles, ordered_tokens
 from firstborn.llm.near_dedup import keep_first_of_group, near_duplicates
 from firstborn.llm.suffix_dedup import repeated_spans, suffix_ranks, window_owners
 from firstborn.llm.vector_dedup import link_vectors
@@ -233,3 +233,15 @@ def test_vectors(spark, block):
         least = min(rows[j][0] for j in root if root[j] == root[i] and rows[j][0] is not None)
         assert got[d] == (sum(i in pair for pair in links), least, d == least), d
     assert link_vectors(frame.limit(0)).count() == 0
+
+
+def test_tokens_are_in_order_of_rarity(spark):
+    """Every bucket in use: tokens come in order of their bucket's rank, over the whole range of ranks."""
+    size = 1 << BUCKET_BITS
+    ranks = np.random.default_rng(3).permutation(size).tolist()
+    line = " ".join(f"word{i}" for i in range(60_000))
+    row = spark.createDataFrame([(line, ranks)], "line string, ranks array<int>")
+    got = row.select(ordered_tokens(F.col("line"), F.col("ranks")).alias("t"), line_shingles(F.col("line")).alias("h")).first()
+    found = [(t >> (64 - BUCKET_BITS)) + size // 2 for t in got.t]
+    assert found == sorted(found) and found == sorted(ranks[h & (size - 1)] for h in got.h)
+    assert len(set(found)) > 0.9 * size and min(found) < 10 and max(found) > size - 10
