@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import draws as dr, exact, labels, likelihood as lk, similarity as sim
+from ..functions.draws import hash_uniform
 from ..plans import grids
+from ..plans.parameter_moves import alpha_walk, stick_walk
 from ..session import persist_reliably
 from .base import (
     DR, DRAWS, EA, LENGTHS, STICKS, TD, TU, UA,
@@ -433,6 +435,44 @@ def g5(spark, sf):
     return mean.join(drawn, DRAW)
 
 
+def _step_uniform(tag, *step):
+    return hash_uniform(F.concat_ws(":", F.lit(tag), "chain", "iteration", *step))
+
+
+def step_uniform(tag: str, *step: str) -> str:
+    key = " || ':' || ".join([f"'{tag}'", "chain", "iteration", *step])
+    return f"(greatest({h52(key)}, 0.5::DOUBLE) / {2**52}.0::DOUBLE)"
+
+
+def step_normal(tag: str, *step: str) -> str:
+    return f"(sqrt(-2 * ln({step_uniform(tag + 'r', *step)})) * cos(2 * pi() * {step_uniform(tag + 't', *step)}))"
+
+
+@query("g4_alpha_steps", f"""WITH RECURSIVE {DR}, {SHAPE}, wk AS (SELECT chain, iteration, n, k, 0 AS j, ln(least(1.0::DOUBLE, n * 0.999::DOUBLE)) AS t FROM sh
+UNION ALL SELECT chain, iteration, n, k, j, CASE WHEN "to" < ln(n) AND ln({step_uniform('accept', 'j')}) < k * "to" + lgamma(exp("to") + 1) - lgamma(n + exp("to")) - (k * t + lgamma(exp(t) + 1) - lgamma(n + exp(t))) THEN "to" ELSE t END
+  FROM (SELECT *, t + 2.4::DOUBLE / sqrt(k) * {step_normal('walk', 'j')} AS "to" FROM (SELECT chain, iteration, n, k, j + 1 AS j, t FROM wk WHERE j < 12)))
+SELECT chain, iteration, round(exp(t), 5) AS alpha FROM wk WHERE j = 12""")
+def g4_steps(spark, sf):
+    """alpha of every draw after twelve exact steps from 1, on the whole of (0, n)."""
+    shape = labels.cluster_sizes(draws(spark, sf), DRAW).groupBy(*DRAW).agg(F.sum("n_k").alias("n"), F.count("*").alias("k"))
+    return shape.select(*DRAW, r(alpha_walk(F.col("n"), F.col("k"), F.lit(1.0), _step_uniform, 12), 5).alias("alpha"))
+
+
+@query("g5_stick_step", f"""WITH {DR}, {SG}, st AS (SELECT chain, iteration, n, k, exp(2.4::DOUBLE / sqrt(2.0::DOUBLE) / sqrt(greatest(k - 1, 1)) * {step_normal('a')}) AS a,
+  exp(2.4::DOUBLE / sqrt(2.0::DOUBLE) / sqrt(greatest(k - 1, 1)) * {step_normal('b')}) AS b FROM sh),
+sv AS (SELECT chain, iteration, a, b, n, coalesce(sum({lb('a + n_k - 1', 'b + comp')} - {lb('a', 'b')} - {lb('n_k::DOUBLE', '1.0::DOUBLE + comp')} + {lb('1.0::DOUBLE', '1.0::DOUBLE')}) FILTER (cluster > 1), 0) + ln(a) + ln(b) AS ratio
+  FROM st JOIN sc USING (chain, iteration) GROUP BY chain, iteration, a, b, n)
+SELECT chain, iteration, a < n AND b < n AND ln({step_uniform('accept')}) < ratio AS moved, round(CASE WHEN a < n AND b < n AND ln({step_uniform('accept')}) < ratio THEN a ELSE 1 END, 5) AS psi_a,
+round(CASE WHEN a < n AND b < n AND ln({step_uniform('accept')}) < ratio THEN b ELSE 1 END, 5) AS psi_b FROM sv""")
+def g5_step(spark, sf):
+    """The stick parameters of every draw after one exact step from (1, 1)."""
+    sizes = persist_reliably(labels.cluster_sizes(draws(spark, sf), DRAW))
+    shape = sizes.groupBy(*DRAW).agg(F.sum("n_k").alias("n"), F.count("*").alias("k"))
+    shape = shape.withColumns({"psi_a": F.lit(1.0), "psi_b": F.lit(1.0)})
+    out = stick_walk(shape, sizes, DRAW, _step_uniform)
+    return out.select(*DRAW, (F.col("psi_a") != 1).alias("moved"), r("psi_a", 5).alias("psi_a"), r("psi_b", 5).alias("psi_b"))
+
+
 @query("g6_arrival_posterior", f"""WITH {DR}, {SHAPE}, ab AS (SELECT chain, iteration, n, k, 1.5::DOUBLE + k - 1 AS a, 4.0::DOUBLE + n - k AS b FROM sh),
 pg AS (SELECT chain, iteration, g, (a - 1) * ln((g - 0.5::DOUBLE) / 64) + (b - 1) * ln(1 - (g - 0.5::DOUBLE) / 64) AS lw FROM ab, range(1, 65) t(g)),
 dw AS (SELECT chain, iteration, arg_max(g, lw + {GUMBEL.format(h=h52("'p:' || chain || ':' || iteration || ':' || g"))})::INTEGER AS drawn FROM pg GROUP BY ALL)
