@@ -10,43 +10,101 @@ from pyspark.sql import functions as F
 from .draws import batch_standard_errors, clustering_frequencies, normalised_weights, signatures
 from .joins import skew_join
 
+#: The length up to which the queries enumerate: 4,213,597 partitions.
 LONGEST = 12
 #: Observations whose labels fit one packed code.
 CODED = 15
-SPREAD_AT = 6
+#: Partitions are numbered but for the last so many observations, which are appended.
+TAIL = 3
+#: Numbers of one slice; a series has as many slices as it needs.
+SLICE = 1 << 10
+
+
+def partition_counts(n: int) -> list[list[int]]:
+    """counts[m][k]: the ways to go on when m observations are left and k clusters are open.
+
+    An observation joins one of k clusters or opens the next, so
+    counts[m][k] = k * counts[m - 1][k] + counts[m - 1][k + 1]; counts[n][0] is Bell's number.
+    """
+    counts = [[1] * (n + 1)]
+    for m in range(1, n + 1):
+        before = counts[-1]
+        counts.append([k * before[k] + before[k + 1] for k in range(n + 1 - m)])
+    return counts
+
+
+def _unranked(rows: DataFrame, most: int) -> DataFrame:
+    """``rows(head, number)`` with the packed code of partition ``number`` (from 0) of 1..head.
+
+    At each observation the ways to go on divide the numbers left: first the open clusters in
+    order of birth, each with equally many, then the new one.  Births are packed like labels,
+    so every step is plain arithmetic on one row; ``_births`` and their number ``_k`` stay.
+    """
+    counts = partition_counts(most)
+    ways = F.array(*[F.lit(row[k] if k < len(row) else 0).cast("bigint") for row in counts for k in range(most + 1)])
+    names = [c for c in rows.columns if c != "number"]
+    zero = F.lit(0).cast("bigint")
+    rows = rows.select(*names, F.col("number").alias("_left"), zero.alias("_births"), F.lit(0).alias("_k"), zero.alias("code"))
+    for i in range(1, most + 1):
+        live = F.col("head") >= i
+        each = F.when(live, F.get(ways, ((F.col("head") - i) * (most + 1) + F.col("_k")).cast("int"))).otherwise(F.lit(1).cast("bigint"))
+        rows = rows.withColumn("_each", each)
+        rows = rows.withColumn("_pick", F.expr("least(_left div _each, cast(_k as bigint))"))
+        joins = F.col("_pick") < F.col("_k")
+        label = F.when(joins, F.expr("shiftright(_births, cast(4 * _pick as int)) & 15")).otherwise(F.lit(i).cast("bigint"))
+        rows = rows.withColumn("_label", F.when(live, label).otherwise(zero))
+        opened = live & ~joins
+        rows = rows.select(
+            *names,
+            F.when(live, F.col("_left") - F.col("_pick") * F.col("_each")).otherwise(F.col("_left")).alias("_left"),
+            F.when(opened, F.col("_births") + F.expr(f"shiftleft({i}L, 4 * _k)")).otherwise(F.col("_births")).alias("_births"),
+            (F.col("_k") + opened.cast("int")).alias("_k"),
+            (F.col("code") + F.shiftleft("_label", 4 * (i - 1))).alias("code"),
+        )
+    return rows.select(*names, "_births", "_k", "code")
 
 
 def all_partitions(series: DataFrame, by: Sequence[str], longest: int, limit: int = LONGEST) -> DataFrame:
     """Every set partition of 1..n for each series ``(by, n)`` of at most ``limit`` observations.
 
-    Each round appends one observation: it joins a label already present or
-    opens its own.  The count grows as Bell numbers, so longer series have no
-    rows here: ``too_long`` lists them, and ``candidate_clusterings`` gives
-    candidates of theirs.  ``longest`` is the largest n present.  Rows are
-    spread again halfway so that one long series does not stay in one task.
-    ``code`` packs the labels into one integer, four bits each, which names the
-    clustering exactly in later joins.
+    Partitions of all but the last TAIL observations are numbered, and each is made from its
+    number alone (``_unranked``): a series is cut into slices of equally many numbers, the
+    slices are dealt over the tasks, and no task depends on another.  The last observations
+    join a cluster or open one, row by row.  The count grows as Bell numbers, so series above
+    ``limit`` have no rows here: ``too_long`` lists them, and ``candidate_clusterings`` gives
+    candidates of theirs.  ``longest`` is the largest n present.  ``code`` packs the labels into
+    one integer, four bits each, which names the clustering exactly in later joins.
     """
     if limit > CODED:
         raise ValueError(f"codes hold up to {CODED} observations")
-    one = F.lit(1).cast("bigint")
-    rows = series.filter(F.col("n") <= limit).select(*by, "n", F.array(one).alias("labels"), one.alias("code"))
-    for i in range(2, min(longest, limit) + 1):
-        here = F.lit(i).cast("bigint")
-        open_round = F.col("n") >= i
+    most = max(1, min(longest, limit))
+    heads = max(1, most - TAIL)
+    bells = F.array(*[F.lit(partition_counts(n)[n][0]).cast("bigint") for n in range(1, heads + 1)])
+    head = F.greatest(F.col("n") - TAIL, F.lit(1)).cast("int")
+    counted = series.filter(F.col("n").between(1, limit)).select(*by, "n", head.alias("head"))
+    counted = counted.withColumn("_total", F.element_at(bells, F.col("head")))
+    slices = F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1, F.lit(SLICE).cast("bigint"))
+    spread = counted.select(*by, "n", "head", "_total", F.explode(slices).alias("_from"))
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(tasks, *by, "_from")
+    numbers = F.sequence(F.col("_from"), F.least(F.col("_from") + (SLICE - 1), F.col("_total") - 1))
+    rows = _unranked(spread.select(*by, "n", "head", F.explode(numbers).alias("number")), heads)
+    packed = F.array(*[F.shiftright("_births", 4 * i).bitwiseAND(F.lit(15)) for i in range(most)])
+    for j in range(1, min(TAIL, most - 1) + 1):
+        here = (F.col("head") + j).cast("bigint")
+        open_round = F.col("n") >= here
         # A finished series keeps its row through a single no-op choice.
-        choices = F.when(open_round, F.array_append(F.array_distinct("labels"), here)).otherwise(
-            F.array(F.lit(0).cast("bigint"))
-        )
-        rows = rows.withColumn("_pick", F.explode(choices)).select(
-            *by,
-            "n",
-            F.when(open_round, F.array_append("labels", F.col("_pick"))).otherwise(F.col("labels")).alias("labels"),
-            (F.col("code") + F.shiftleft("_pick", 4 * (i - 1))).alias("code"),
-        )
-        if i == SPREAD_AT:
-            rows = rows.repartition(*by, "code")
-    return rows
+        choices = F.when(open_round, F.array_append(F.slice(packed, F.lit(1), F.col("_k")), here)).otherwise(F.array(F.lit(0).cast("bigint")))
+        picked = rows.withColumn("_pick", F.explode(choices))
+        opens = open_round & (F.col("_pick") == here)
+        rows = picked.select(
+            *by, "n", "head",
+            F.when(opens, F.col("_births") + F.expr("shiftleft(_pick, 4 * _k)")).otherwise(F.col("_births")).alias("_births"),
+            (F.col("_k") + opens.cast("int")).alias("_k"),
+            (F.col("code") + F.expr(f"shiftleft(_pick, 4 * (head + {j - 1}))")).alias("code"),
+        )
+    digits = F.array(*[F.shiftright("code", 4 * i).bitwiseAND(F.lit(15)) for i in range(most)])
+    return rows.select(*by, "n", F.slice(digits, F.lit(1), F.col("n").cast("int")).alias("labels"), "code")
 
 
 def too_long(series: DataFrame, by: Sequence[str], limit: int = LONGEST) -> DataFrame:
