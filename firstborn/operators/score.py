@@ -111,21 +111,24 @@ def _position_paths(assignments: DataFrame, paths: DataFrame, by: Sequence[str])
     ).drop("skip", "skip_less", "_born")
 
 
-def _join_births(paths: DataFrame, by: Sequence[str]) -> DataFrame:
-    """For births k and l < k: the cost of k's members now passing over l, summed over l above a rank."""
-    young = paths.select(*by, F.col("cluster").alias("candidate"), F.col("rank").alias("_krank"), F.col("n_k").alias("_nk"))
-    old = paths.select(*by, F.col("rank").alias("_lrank"), F.col("stick_a").alias("_a"), F.col("stick_b").alias("_b"))
-    gain = lbeta(F.col("_a"), F.col("_b") + F.col("_nk")) - lbeta(F.col("_a"), F.col("_b"))
-    pairs = young.join(old, list(by)).filter(F.col("_lrank") < F.col("_krank"))
-    pairs = persist_reliably(pairs.select(*by, "candidate", "_lrank", gain.alias("_gain")))
-    cum = running_sums(
-        pairs, {"_upto": F.col("_gain")}, "_lrank", [*by, "candidate"], inclusive=True, stored=True
-    )
-    full = pairs.groupBy(*by, "candidate").agg(F.sum("_gain").alias("_all"))
-    return (
-        cum.join(full, [*by, "candidate"])
-        .select(*by, "candidate", F.col("_lrank").alias("alive"), (F.col("_all") - F.col("_upto")).alias("passed"))
+def passed_sums(paths: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What passing over older clusters costs a group of each size that occurs in the series.
+
+    The cost of a younger cluster's members passing over an older one depends on how many
+    they are, not on which cluster it is.  So ``upto`` is a running sum along the ranks per
+    *distinct* size: clusters times distinct sizes rows (at most K * sqrt(2n) per series)
+    in place of all pairs of clusters.
+    """
+    total = paths.groupBy(*by).agg(F.count("*").alias("_clusters"))
+    sizes = paths.select(*by, F.col("n_k").alias("size")).distinct().join(total, list(by))
+    old = paths.select(*by, "rank", "stick_a", "stick_b")
+    a, b = F.col("stick_a"), F.col("stick_b")
+    gain = lbeta(a, b + F.col("size")) - lbeta(a, b)
+    steps = skew_join(old, sizes, by, size="_clusters", spread="rank").select(*by, "size", "rank", gain.alias("_gain"))
+    sums = running_sums(
+        persist_reliably(steps), {"upto": F.col("_gain")}, "rank", [*by, "size"], inclusive=True, stored=True
     )
+    return sums.select(*by, "size", "rank", "upto")
 
 
 def prior_scores(
@@ -188,24 +191,31 @@ def prior_scores(
             *by,
             "cluster",
             "n_k",
+            "rank",
             "stick_a",
             "stick_b",
             F.col("path").alias("k_path"),
             F.col("path_less").alias("k_path_less"),
         )
     )
+    extra = ["stick_a", "stick_b", "k_path", "k_path_less", *more]
+    if rebirth:
+        passed = persist_reliably(passed_sums(paths, by))
+        below = passed.select(*by, F.col("size").alias("n_k"), (F.col("rank") + 1).alias("rank"), F.col("upto").alias("_below"))
+        clusters = clusters.join(below, [*by, "n_k", "rank"], "left").withColumn("_size", F.col("n_k"))
+        extra += ["_size", "_below"]
     joined = candidate_pairs(
         placed,
         clusters,
         by,
         [*carry, *known, "_comp", "_n", "_k"],
-        ["stick_a", "stick_b", "k_path", "k_path_less", *more],
+        extra,
     )
     obs, c, k, single = F.col("obs"), F.col("cluster"), F.col("candidate"), F.col("single")
     kept = F.col("_k") - single.cast("bigint")
     if rebirth:
-        passed = _join_births(paths, by)
-        joined = joined.join(passed, [*by, "candidate", "alive"], "left")
+        at = passed.select(*by, F.col("size").alias("_size"), F.col("rank").alias("alive"), "upto")
+        joined = joined.join(at, [*by, "_size", "alive"], "left").withColumn("passed", F.col("_below") - F.col("upto"))
     else:
         joined = joined.filter(k <= obs).withColumn("passed", F.lit(0.0))
     a_k = F.col("stick_a") - (k == c).cast("double")
