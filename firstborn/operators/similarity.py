@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import persist_reliably
@@ -17,6 +18,8 @@ from .draws import DRAW
 from .joins import skew_join
 
 ATOMS_PER_STRIP = 1 << 12
+#: Sums of shares may miss a threshold by rounding; this much below it still counts.
+SLACK = 1e-9
 
 
 def observation_paths(draws: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
@@ -68,6 +71,15 @@ def _atom_paths(draws: DataFrame, by: Sequence[str]) -> DataFrame:
     return persist_reliably(atom_draws(draws, by).groupBy(*by, "atom", "weight").agg(path))
 
 
+def _draw_shares(rows: DataFrame, by: Sequence[str], weights: DataFrame | None) -> DataFrame:
+    """The share of every draw in the total weight of its chain, and how many rows it has."""
+    draw = [*by, "iteration"]
+    per_draw = rows.groupBy(*draw).agg(F.count("*").alias("_rows"))
+    per_draw = per_draw.withColumn("w", F.lit(1.0)) if weights is None else per_draw.join(weights, draw)
+    total = per_draw.groupBy(*by).agg(F.sum("w").alias("_total"))
+    return per_draw.join(total, list(by)).select(*draw, "_rows", (F.col("w") / F.col("_total")).alias("_share"))
+
+
 def co_occurrence(draws: DataFrame, by: Sequence[str] = ("chain",), weights: DataFrame | None = None) -> DataFrame:
     """Posterior similarity of atoms, upper triangle, zeros left out.
 
@@ -77,10 +89,7 @@ def co_occurrence(draws: DataFrame, by: Sequence[str] = ("chain",), weights: Dat
     """
     rows = atom_draws(draws, by)
     draw = [*by, "iteration"]
-    per_draw = rows.groupBy(*draw).agg(F.count("*").alias("_rows"))
-    per_draw = per_draw.withColumn("w", F.lit(1.0)) if weights is None else per_draw.join(weights, draw)
-    total = per_draw.groupBy(*by).agg(F.sum("w").alias("_total"))
-    share = per_draw.join(total, list(by)).select(*draw, "_rows", (F.col("w") / F.col("_total")).alias("_share"))
+    share = _draw_shares(rows, by, weights)
     left = skew_join(
         rows.select(*draw, "cluster", F.col("atom").alias("atom_a"), F.col("weight").alias("size_a")),
         share,
@@ -98,6 +107,65 @@ def co_occurrence(draws: DataFrame, by: Sequence[str] = ("chain",), weights: Dat
     return pairs.groupBy(*by, "atom_a", "size_a", "atom_b", "size_b").agg(F.sum("_share").alias("p"))
 
 
+def similar_atoms(
+    draws: DataFrame, min_p: float, by: Sequence[str] = ("chain",), weights: DataFrame | None = None
+) -> DataFrame:
+    """The rows of ``co_occurrence`` with ``p >= min_p`` (up to ``SLACK``), without building the others.
+
+    An atom is the set of its (iteration, cluster) keys, whose shares sum to 1.  Keys are put
+    in one order, those with few atoms first.  If two atoms share keys worth ``min_p``, then
+    from their first common key on each still has that much left, so only keys with at least
+    ``min_p`` from them to the end are listed: the rarest ``1 - min_p`` of every atom's keys.
+    Candidates meet in those lists, and whole paths decide.
+    """
+    if not 0 < min_p <= 1:
+        raise ValueError("min_p must be above 0 and at most 1")
+    rows = atom_draws(draws, by)
+    draw = [*by, "iteration"]
+    key = [*draw, "cluster"]
+    shared = skew_join(rows, _draw_shares(rows, by, weights), draw, size="_rows", spread="atom").drop("_rows")
+    width = rows.groupBy(*key).agg(F.count("*").alias("_width"))
+    sized = persist_reliably(skew_join(shared, width, key, size="_width", spread="atom"))
+    # As many rows per atom as there are draws; the widest keys come first in the sum.
+    rest = W.partitionBy(*by, "atom").orderBy(F.desc("_width"), F.desc("iteration"))
+    rest = rest.rowsBetween(W.unboundedPreceding, W.currentRow)
+    listed = sized.withColumn("_left", F.sum("_share").over(rest)).filter(F.col("_left") >= min_p - SLACK)
+    listed = persist_reliably(listed.select(*key, "atom"))
+    lists = listed.groupBy(*key).agg(F.count("*").alias("_listed")).filter("_listed > 1")
+    right = listed.join(lists, key).withColumnRenamed("atom", "atom_b")
+    met = skew_join(
+        listed.withColumnRenamed("atom", "atom_a"), right, key, size="_listed", spread="atom_a", rows_per_salt=ATOMS_PER_STRIP
+    ).filter(F.col("atom_a") < F.col("atom_b"))
+    met = met.select(*by, "atom_a", "atom_b").distinct()
+    path = F.sort_array(F.collect_list(F.struct("iteration", "cluster", F.col("_share").alias("share"))))
+    paths = persist_reliably(sized.groupBy(*by, "atom", "weight").agg(path.alias("path")))
+    left = paths.select(*by, F.col("atom").alias("atom_a"), F.col("weight").alias("size_a"), F.col("path").alias("_a"))
+    other = paths.select(*by, F.col("atom").alias("atom_b"), F.col("weight").alias("size_b"), F.col("path").alias("_b"))
+    common = F.zip_with("_a", "_b", lambda x, y: F.when(x["cluster"] == y["cluster"], x["share"]).otherwise(0.0))
+    p = F.aggregate(common, F.lit(0.0), lambda acc, v: acc + v)
+    apart = met.join(left, [*by, "atom_a"]).join(other, [*by, "atom_b"]).withColumn("p", p)
+    columns = [*by, "atom_a", "size_a", "atom_b", "size_b", "p"]
+    own = left.select(*by, "atom_a", "size_a", F.col("atom_a").alias("atom_b"), F.col("size_a").alias("size_b"), F.lit(1.0).alias("p"))
+    return apart.filter(F.col("p") >= min_p - SLACK).select(*columns).unionByName(own.select(*columns))
+
+
+def nearest_atoms(
+    draws: DataFrame, most: int, min_p: float, by: Sequence[str] = ("chain",), weights: DataFrame | None = None
+) -> DataFrame:
+    """Each atom's ``most`` other atoms of highest similarity, of at least ``min_p``; the older atom on ties.
+
+    Only the first ``most`` rows of an atom leave a task, so an atom that is similar to all
+    others costs no more memory than any other; the result is linear in atoms.
+    """
+    pairs = similar_atoms(draws, min_p, by, weights).filter(F.col("atom_a") < F.col("atom_b"))
+    pairs = persist_reliably(pairs)
+    here = pairs.select(*by, F.col("atom_a").alias("atom"), F.col("atom_b").alias("other"), F.col("size_b").alias("size"), "p")
+    there = pairs.select(*by, F.col("atom_b").alias("atom"), F.col("atom_a").alias("other"), F.col("size_a").alias("size"), "p")
+    order = W.partitionBy(*by, "atom").orderBy(F.desc(F.round("p", 9)), "other")
+    ranked = here.unionByName(there).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= most)
+
+
 def pair_similarity(draws: DataFrame, pairs: DataFrame, by: Sequence[str] = ("chain",)) -> DataFrame:
     """Co-assignment share of listed observation pairs: two key joins, linear in the list.
 

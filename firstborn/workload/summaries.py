@@ -256,6 +256,37 @@ def ps1_weighted(spark, sf):
     return sim.co_occurrence(rows, weights=weights).withColumn("p", r("p"))
 
 
+def _by_iteration(rows):
+    """Draws weighted by their number."""
+    return dr.clusters_per_draw(rows).select("chain", "iteration", F.col("iteration").cast("double").alias("w"))
+
+
+SIM = AT + f""",
+sm AS (SELECT a.chain, a.atom AS atom_a, a.size AS size_a, b.atom AS atom_b, b.size AS size_b, count(*) / {DRAWS}.0::DOUBLE AS p
+FROM aw a JOIN aw b ON a.chain = b.chain AND a.iteration = b.iteration AND a.cluster = b.cluster GROUP BY ALL)"""
+
+
+@query("ps1_similar_atoms", f"""WITH {DR}, {SIM} SELECT chain, atom_a, size_a, atom_b, size_b, round(p, 6) AS p FROM sm WHERE atom_a <= atom_b AND round(p, 9) >= 0.6""")
+def ps1_similar(spark, sf):
+    return sim.similar_atoms(draws(spark, sf), 0.6).withColumn("p", r("p"))
+
+
+@query("ps1_nearest_atoms", f"""WITH {DR}, {SIM}, rk AS (SELECT chain, atom_a AS atom, atom_b AS other, size_b AS size, p,
+  row_number() OVER (PARTITION BY chain, atom_a ORDER BY round(p, 9) DESC, atom_b)::INTEGER AS rank FROM sm WHERE atom_a <> atom_b AND round(p, 9) >= 0.3)
+SELECT chain, atom, other, size, round(p, 6) AS p, rank FROM rk WHERE rank <= 3""")
+def ps1_nearest(spark, sf):
+    return sim.nearest_atoms(draws(spark, sf), 3, 0.3).withColumn("p", r("p"))
+
+
+@query("d5_weighted_heat_map", f"""WITH {DR}, {AT}, sm AS (SELECT a.chain, a.atom AS atom_a, a.size AS size_a, b.atom AS atom_b, b.size AS size_b, sum(a.iteration) / 210.0::DOUBLE AS p
+FROM aw a JOIN aw b ON a.chain = b.chain AND a.iteration = b.iteration AND a.cluster = b.cluster AND a.atom <= b.atom GROUP BY ALL)
+SELECT chain, atom_a, size_a, atom_b, size_b, round(p, 6) AS p FROM sm WHERE round(p, 9) >= 0.5""")
+def d5_weighted(spark, sf):
+    """Heat-map data of every chain, later draws weighing more, pale cells left out."""
+    rows = draws(spark, sf)
+    return sim.similar_atoms(rows, 0.5, weights=_by_iteration(rows)).withColumn("p", r("p"))
+
+
 @query("ps1_atom_members", f"""WITH {DR}, {AT} SELECT pa.chain, pa.obs, am.atom FROM pa JOIN am USING (chain, z)""")
 def ps1_members(spark, sf):
     return sim.atom_members(draws(spark, sf))
