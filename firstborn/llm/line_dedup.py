@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.joins import skew_join
 from ..session import drop_tables, persist_reliably, table_scope
 from .common import SPACES, WORD_BREAK, whole_text
 from .outliers import let
@@ -85,6 +86,29 @@ def touched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(buckets), _bucket("doc_id", "tie") == F.col("_b"), how)
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    """The classes of either side."""
+    return pairs.select("k1").unionByName(pairs.select(F.col("k1_b").alias("k1"))).distinct()
+
+
+def _line_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """at, k1 and the token set of the first line of every class in ``wanted`` (k1), from the texts."""
+    firsts = classes.join(wanted, "k1", "left_semi").select("k1", F.col("first").alias("at"))
+    by_doc = firsts.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tie").alias("tie")).agg(
+        F.collect_list(F.struct(F.col("at.no").alias("no"), "k1")).alias("picked")
+    )
+    by_doc = persist_reliably(by_doc)
+    named = by_doc.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "picked")
+    line = lambda p: F.struct(p["no"].alias("no"), p["k1"].alias("k1"), F.get("lines", p["no"]).alias("line"))
+    return (
+        touched(docs, by_doc, "left_semi")
+        .join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
+        .select("doc_id", "tie", "picked", F.split("text", "\n").alias("lines"))
+        .select("doc_id", "tie", F.explode(F.transform("picked", line)).alias("p"))
+        .select(F.struct("doc_id", "tie", "p.no").alias("at"), "p.k1", F.array_distinct(line_shingles(F.col("p.line"))).alias("tokens"))
+    )
+
+
 def removed_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, tie and removed (line numbers from 0) of the documents that lose lines.
 
@@ -114,57 +138,57 @@ def removed_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFr
     )
     at = F.struct("doc_id", "tie", "no")
     # Equal sets are one class; its first line stays unless an earlier class is similar.
-    prefixes = lines.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = prefixes.select("k1", "n", F.posexplode("prefix").alias("i", "token")).select(
-        "token", "k1", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("i").cast("bigint")).alias("ni")
-    )
-    shared = postings.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1")
-    shared = persist_reliably(
-        shared.select("token", "k1", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
+    classes = persist_reliably(
+        lines.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(at).alias("first"), F.count("*").alias("copies"))
     )
-    right = shared.select(*[F.col(c).alias(f"{c}_b") for c in shared.columns])
-    n_a, n_b, i_a, i_b = (F.col(c) for c in ("n", "n_b", "i", "i_b"))
-    # |A and B| >= a / (a + b) * (|A| + |B|) is what the similarity asks for; the first common
-    # token must leave that many behind it in both orders.
-    needed = (n_a + n_b) * a
-    pairs = persist_reliably(
-        shared.join(right, F.col("token") == F.col("token_b"))
-        .filter((F.col("k1") < F.col("k1_b")) & (n_a * b >= n_b * a) & (n_b * b >= n_a * a))
-        .filter(((n_a - i_a) * (a + b) >= needed) & ((n_b - i_b) * (a + b) >= needed))
-        .select("k1", "k1_b")
-        .distinct()
-    )
-    wanted = pairs.select("k1").unionByName(pairs.select(F.col("k1_b").alias("k1"))).distinct()
-    # The first line of every class in a pair.  k1 alone named classes so far; from here both hashes do.
-    firsts = persist_reliably(lines.join(wanted, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(at).alias("at")))
-    by_doc = firsts.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tie").alias("tie")).agg(
-        F.collect_list(F.struct(F.col("at.no").alias("no"), "k1", "k2")).alias("picked")
-    )
-    by_doc = persist_reliably(by_doc)
-    named = by_doc.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "picked")
-    fetched = (
-        touched(docs, by_doc, "left_semi")
-        .join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
-        .select("doc_id", "tie", "picked", F.split("text", "\n").alias("lines"))
-        .select(
-            "doc_id",
-            "tie",
-            F.explode(F.transform("picked", lambda p: F.struct(p["no"].alias("no"), p["k1"].alias("k1"), F.get("lines", p["no"]).alias("line")))).alias("p"),
+    postings = classes.select("k1", "n", "first", F.posexplode("prefix").alias("i", "token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = persist_reliably(skew_join(postings, lists, ["token"], size="df", spread="k1"))
+
+    def near(old: DataFrame, new: DataFrame) -> DataFrame:
+        """Pairs of classes (k1 earlier, k1_b later) that meet in a list and pass the filters."""
+        right = new.select(*[F.col(c).alias(f"{c}_b") for c in ("token", "k1", "n", "i", "first")])
+        n_a, n_b, i_a, i_b = (F.col(c) for c in ("n", "n_b", "i", "i_b"))
+        # |A and B| >= a / (a + b) * (|A| + |B|) is what the similarity asks for; the first common
+        # token must leave that many behind it in both orders.
+        needed = (n_a + n_b) * a
+        met = skew_join(right.withColumnRenamed("token_b", "token"), old, ["token"], size="df", spread="k1_b")
+        return (
+            met.filter((F.col("first") < F.col("first_b")) & (n_a * b >= n_b * a) & (n_b * b >= n_a * a))
+            .filter(((n_a - i_a) * (a + b) >= needed) & ((n_b - i_b) * (a + b) >= needed))
+            .select("k1", "k1_b")
+            .distinct()
         )
-        .select(F.struct("doc_id", "tie", "p.no").alias("at"), "p.k1", F.array_distinct(line_shingles(F.col("p.line"))).alias("tokens"))
-    )
-    fetched = persist_reliably(fetched)
-    other = fetched.select(F.col("at").alias("at_b"), F.col("k1").alias("k1_b"), F.col("tokens").alias("tokens_b"))
-    both = F.size(F.array_intersect("tokens", "tokens_b"))
-    linked = (
-        pairs.join(fetched, "k1")
-        .join(other, "k1_b")
-        .filter(both * (a + b) >= (F.size("tokens") + F.size("tokens_b")) * a)
-        .select(F.greatest("at", "at_b").alias("at"))
-        .distinct()
+
+    def beaten(pairs: DataFrame, fetched: DataFrame) -> DataFrame:
+        """k1 and first of the later classes whose whole sets are similar to the earlier one's."""
+        other = fetched.select(F.col("at").alias("at_b"), F.col("k1").alias("k1_b"), F.col("tokens").alias("tokens_b"))
+        both = F.size(F.array_intersect("tokens", "tokens_b"))
+        return (
+            pairs.join(fetched, "k1")
+            .join(other, "k1_b")
+            .filter(both * (a + b) >= (F.size("tokens") + F.size("tokens_b")) * a)
+            .select(F.col("k1_b").alias("k1"), F.col("at_b").alias("first"))
+            .distinct()
+        )
+
+    # Every list is compared with its first class to begin with, which settles groups of near
+    # copies in as many pairs as they have members.
+    heads = shared.groupBy("token").agg(F.min(F.struct("first", "k1")).alias("head"))
+    led = persist_reliably(skew_join(shared, heads.join(lists, "token").withColumnRenamed("df", "_df"), ["token"], size="_df", spread="k1").drop("_df"))
+    is_head = F.col("k1") == F.col("head.k1")
+    begun = persist_reliably(near(led.filter(is_head), led.filter(~is_head)))
+    known = persist_reliably(_line_sets(docs, classes, _named(begun)))
+    settled = persist_reliably(beaten(begun, known))
+    # What no head removed meets every other earlier class of its lists, removed or not.
+    rest = led.filter(~is_head)
+    left = persist_reliably(
+        near(rest, rest.join(settled.select("k1").distinct(), "k1", "left_anti")).join(begun, ["k1", "k1_b"], "left_anti")
     )
-    gone = firsts.join(linked, "at").select("k1", "k2", F.lit(True).alias("gone"))
-    starts = lines.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("copies")).join(gone, ["k1", "k2"], "left")
+    more = _line_sets(docs, classes, _named(left).join(known.select("k1").distinct(), "k1", "left_anti"))
+    linked = settled.unionByName(beaten(left, persist_reliably(known.unionByName(more)))).distinct()
+    gone = classes.select("k1", "k2", "first").join(linked, ["k1", "first"]).select("k1", "k2", F.lit(True).alias("gone"))
+    starts = classes.select("k1", "k2", "first", "copies").join(gone, ["k1", "k2"], "left")
     # Only classes with later copies or a similar earlier class lose lines.
     losing = starts.filter(F.col("gone") | (F.col("copies") > 1)).select("k1", "k2", "first", "gone")
     # A class of a very common line has many rows here, but one row on the other side.

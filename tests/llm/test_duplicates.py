@@ -246,3 +246,26 @@ def test_tokens_are_in_order_of_rarity(spark):
     found = [(t >> (64 - BUCKET_BITS)) + size // 2 for t in got.t]
     assert found == sorted(found) and found == sorted(ranks[h & (size - 1)] for h in got.h)
     assert len(set(found)) > 0.9 * size and min(found) < 10 and max(found) > size - 10
+
+
+def test_lines_of_one_large_group_and_its_neighbours(spark, frame):
+    """600 near copies of one line, and lines similar to a removed copy but not to the first line."""
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(600):
+        words = list(base)
+        words[d % 60] = f"x{d}"
+        rows.append((d, " ".join(words)))
+    chain = [" ".join([f"c{i}" for i in range(k, k + 40)]) for k in range(0, 12, 2)]
+    rows += [(1000 + i, line) for i, line in enumerate(chain)]
+    rows += [(2000 + i, line) for i, line in enumerate(reversed(chain))]
+
+    seen, gone = [], set()
+    for doc_id, line in rows:
+        own = shingles(line)
+        if any(5 * len(own & o) >= 4 * len(own | o) for o in seen):
+            gone.add(doc_id)
+        seen.append(own)
+    got = {r.doc_id for r in dedup_lines(frame(rows)).filter("removed > 0").collect()}
+    assert got == gone
+    assert {1001, 1002} <= gone
