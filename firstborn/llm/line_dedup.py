@@ -141,9 +141,11 @@ def removed_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFr
     classes = persist_reliably(
         lines.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(at).alias("first"), F.count("*").alias("copies"))
     )
-    postings = classes.select("k1", "n", "first", F.posexplode("prefix").alias("i", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = persist_reliably(skew_join(postings, lists, ["token"], size="df", spread="k1"))
+    postings = classes.select("k1", "n", F.posexplode("prefix").alias("i", "token"))
+    lists = persist_reliably(postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    # First lines join only what is left: most tokens are in one class and end here.
+    met_again = skew_join(postings, lists, ["token"], size="df", spread="k1")
+    shared = persist_reliably(met_again.join(classes.select("k1", "first"), "k1"))
 
     def near(old: DataFrame, new: DataFrame) -> DataFrame:
         """Pairs of classes (k1 earlier, k1_b later) that meet in a list and pass the filters."""
@@ -174,9 +176,9 @@ def removed_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFr
 
     # Every list is compared with its first class to begin with, which settles groups of near
     # copies in as many pairs as they have members.
-    heads = shared.groupBy("token").agg(F.min(F.struct("first", "k1")).alias("head"))
+    heads = shared.groupBy("token").agg(F.min(F.struct("first", "k1"))["k1"].alias("head"))
     led = persist_reliably(skew_join(shared, heads.join(lists, "token").withColumnRenamed("df", "_df"), ["token"], size="_df", spread="k1").drop("_df"))
-    is_head = F.col("k1") == F.col("head.k1")
+    is_head = F.col("k1") == F.col("head")
     begun = persist_reliably(near(led.filter(is_head), led.filter(~is_head)))
     known = persist_reliably(_line_sets(docs, classes, _named(begun)))
     settled = persist_reliably(beaten(begun, known))
