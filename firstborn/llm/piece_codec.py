@@ -10,15 +10,16 @@ each chunk is traced back on its own once its entry and exit states are known.
 
 No piece joins a non-space to a following space mark, so words are independent parts of
 the lattice: their state is always the same.  Ordinary texts are encoded word by word with
-a memory of words seen.
+a memory of words seen; the paths of new words are searched side by side in numpy.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,22 @@ from .common import partitions, whole_text
 MARK = "▁"
 #: Characters above which a text is cut into chunks of this size that are encoded in parallel.
 CHUNK = 1 << 16
-#: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 100_000
+#: Distinct words a worker meets before it forgets those not met since as many before.
+REMEMBERED = 200_000
+#: Letters of new words whose paths are searched side by side.
+SIDE_BY_SIDE = 200_000
+#: So many unfinished words are searched one by one.
+FEW = 24
+#: Numbers of letters that no piece has begin here; ids of pieces are smaller.
+UNKNOWN = 1 << 17
+#: Slots for remembered pairs, as a power of two.
+PAIR_BITS = 20
+#: Pairs of pieces of which a worker remembers whether they are compatible.
+REMEMBERED_PAIRS = 500_000
+#: Neighbouring chunks, or blocks of chunks, whose matrices become the matrix of one block.
+FAN = 64
+#: No text has more characters than a Java string.
+LONGEST_TEXT = 1 << 31
 
 START = -1
 FOREVER = float("inf")
@@ -66,18 +81,24 @@ class PieceModel:
                 self.byte_ids[value] = i
                 self.bytes_of[i] = bytes([value])
         self.longest = max(map(len, self.ids))
+        if self.longest > 31 or len(self.pieces) > UNKNOWN:
+            raise ValueError("pieces of at most 31 letters, and at most 131,072 of them, are supported")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a space mark after another character")
         self.endings: dict[str, list[tuple[str, float, float]]] = {}
         self.beginnings: dict[str, list[tuple[str, float, float]]] = {}
         self.fits: dict[str, dict[str, bool]] = {}
         self.n_fits = 0
-        # Letters of the longest piece that begins with two given letters.
+        # Letters of the longest piece that begins with four given letters.
         self.reach: dict[str, int] = {}
         for piece in self.ids:
-            self.reach[piece[:2]] = max(len(piece), self.reach.get(piece[:2], 1))
+            if len(piece) > 3:
+                self.reach[piece[:4]] = max(len(piece), self.reach.get(piece[:4], 4))
+        # Pieces of two letters or more, each as one shared object.
+        self.joined = {piece: piece for piece in self.rank if len(piece) > 1}
         self.raw = [self.bytes_of.get(i, p.encode()) for i, p in enumerate(self.pieces)]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK) if text else ""
@@ -144,17 +165,23 @@ class PieceModel:
         out: list[str] = []
         tried: list[int] = []
         dead: set[int] = set()
+        joined, reach = self.joined, self.reach
         at, end, left = 0, len(text), ""
-        length = self.reach.get(text[:2], 1)
+        length = min(reach.get(text[:4], 3), end)
         while at < end:
+            fits = self.fits.get(left) if left else None
             while length:
                 piece = text[at : at + length]
-                if at + length <= end and at + length not in dead and (length == 1 or piece in self.rank):
+                if length > 1:
+                    piece = joined.get(piece)
+                if piece is not None and at + length not in dead:
                     if not left:
                         break
-                    known = self.fits.get(left)
-                    good = known.get(piece) if known is not None else None
-                    if good if good is not None else self.compatible(left, piece):
+                    good = fits.get(piece) if fits is not None else None
+                    if good is None:
+                        good = self.compatible(left, piece)
+                        fits = self.fits[left]
+                    if good:
                         break
                 length -= 1
             if length:
@@ -162,7 +189,7 @@ class PieceModel:
                 tried.append(length)
                 at += length
                 left = piece
-                length = self.reach.get(text[at : at + 2], 1)
+                length = min(reach.get(text[at : at + 4], 3), end - at)
             else:
                 dead.add(at)
                 length = tried.pop() - 1
@@ -182,13 +209,159 @@ class PieceModel:
         return out
 
     def learn(self, words: set[str], remembered: int) -> None:
+        """Have the ids of all these words in ``self.words``."""
         if len(self.words) > remembered:
-            self.words.clear()
-        if self.n_fits > remembered:
+            self.older, self.words = self.words, {}
+        if self.n_fits > REMEMBERED_PAIRS:
             self.fits.clear()
             self.n_fits = 0
+        new, held = [], 0
         for word in words.difference(self.words):
-            self.words[word] = np.array(self.to_ids(self.path(word)), np.int32).tobytes()
+            found = self.older.get(word)
+            if found is not None:
+                self.words[word] = found
+                continue
+            new.append(word)
+            held += len(word)
+            if held > SIDE_BY_SIDE:
+                self.words.update(self.encode_words(new))
+                new, held = [], 0
+        self.words.update(self.encode_words(new))
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Every word with its ids as little-endian 32-bit integers."""
+        words = [w for w in words if w]
+        found, chosen, ends = self._paths(words)
+        which = np.flatnonzero(chosen >= 0)
+        flat = chosen[which]
+        at = np.searchsorted(which, np.concatenate([[0], ends]))
+        raw = flat.astype("<i4").tobytes()
+        letters_left = np.concatenate([[0], np.cumsum(flat >= UNKNOWN)])
+        by_bytes = letters_left[at[1:]] - letters_left[at[:-1]]
+        for word, a, b, done, odd in zip(words, (4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), found.tolist(), by_bytes.tolist(), strict=True):
+            if done and not odd:
+                yield word, raw[a:b]
+            else:
+                pieces = [self.name(n) for n in flat[a // 4 : b // 4].tolist()] if done else self.path(word)
+                yield word, array("i", self.to_ids(pieces)).tobytes()
+
+    def name(self, number: int) -> str:
+        """The piece with this id, or the letter that no piece has."""
+        return self.pieces[number] if number < UNKNOWN else chr(number - UNKNOWN)
+
+    def _edges(self, letters: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids[at, n]: the piece of n + 1 letters that begins there; and a bit for each that exists.
+
+        ``room`` is the number of letters from a place to the end of its word.
+        """
+        ids = np.full((len(letters), self.longest), -1, np.int32)
+        ids[:, 0] = letters + UNKNOWN
+        exists = np.ones(len(letters), np.int64)
+        kind = self.letter_kind[letters]
+        at = np.arange(len(letters))
+        node = np.zeros(len(letters), np.int64)
+        for depth in range(self.longest):
+            inside = room[at] > depth
+            at, node = at[inside], node[inside]
+            key = node * self.n_kinds + kind[at + depth]
+            place = np.minimum(np.searchsorted(self.branch_keys, key), len(self.branch_keys) - 1)
+            found = self.branch_keys[place] == key
+            at, node = at[found], self.branch_nodes[place[found]]
+            piece = self.node_piece[node]
+            whole = piece >= 0
+            ids[at[whole], depth] = piece[whole]
+            exists[at[whole]] |= 1 << depth
+            if not len(at):
+                break
+        return ids, exists
+
+    def _tree(self) -> None:
+        """The pieces as a tree of letters in arrays: (node, kind of letter) -> node, node -> piece."""
+        kinds = {c: n for n, c in enumerate(sorted(set().union(*self.ids)), 1)}
+        self.n_kinds = len(kinds) + 1
+        self.letter_kind = np.zeros(0x110000, np.int32)
+        for letter, n in kinds.items():
+            self.letter_kind[ord(letter)] = n
+        nodes, branches = {"": 0}, {}
+        for piece in self.ids:
+            for size in range(1, len(piece) + 1):
+                if piece[:size] not in nodes:
+                    branches[nodes[piece[: size - 1]] * self.n_kinds + kinds[piece[size - 1]]] = nodes[piece[:size]] = len(nodes)
+        self.branch_keys = np.array(sorted(branches), np.int64)
+        self.branch_nodes = np.array([branches[k] for k in self.branch_keys.tolist()], np.int64)
+        self.node_piece = np.full(len(nodes), -1, np.int32)
+        for piece, number in self.ids.items():
+            self.node_piece[nodes[piece]] = number
+        # Answers of ``compatible`` by a hash of the pair; a later pair takes the place of an earlier one.
+        self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 21 | right
+        slot = (key * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - PAIR_BITS)
+        out = self.pair_fits[slot]
+        unknown = np.flatnonzero(self.pair_keys[slot] != key)
+        if len(unknown):
+            pairs, where = np.unique(key[unknown], return_inverse=True)
+            answers = np.array([self.compatible(self.name(k >> 21), self.name(k & 0x1FFFFF)) for k in pairs.tolist()], bool)
+            out[unknown] = answers[where]
+            self.pair_keys[slot[unknown]] = key[unknown]
+            self.pair_fits[slot[unknown]] = out[unknown]
+        return out
+
+    def _paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``path`` of many words at once, one step of every unfinished word at a time.
+
+        Returns which words are done, the piece that begins at each letter of all words (-1
+        for none), and where words end.  The last FEW unfinished words are left out.
+        """
+        if not hasattr(self, "node_piece"):
+            self._tree()
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        done = np.zeros(len(words), bool)
+        total = int(sizes.sum())
+        chosen = np.full(total, -1, np.int32)
+        if len(words) <= FEW:
+            return done, chosen, ends
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+        ids, left_over = self._edges(letters, np.repeat(ends, sizes) - np.arange(total))
+        begins = ends - sizes
+        back = np.full(total, -1, np.int64)
+        dead = np.zeros(total + 1, bool)
+        active = np.arange(len(words))
+        place = begins.copy()
+        while len(active) > FEW:
+            at = place[active]
+            bits = left_over[at]
+            stuck = bits == 0
+            if stuck.any():
+                words_back, at_back = active[stuck], at[stuck]
+                dead[at_back] = True
+                before = back[at_back]
+                chosen[before] = -1
+                left_over[before] &= (1 << (at_back - before - 1)) - 1
+                place[words_back] = before
+                active, at, bits = active[~stuck], at[~stuck], bits[~stuck]
+            length = np.frexp(bits.astype(np.float64))[1].astype(np.int64)
+            to = at + length
+            piece = ids[at, length - 1]
+            good = ~dead[to] | (to == ends[active])
+            inner = np.flatnonzero(good & (at > begins[active]))
+            good[inner] = self._fit(chosen[back[at[inner]]], piece[inner])
+            missed = at[~good]
+            left_over[missed] ^= 1 << (length[~good] - 1)
+            chosen[at[good]] = piece[good]
+            finished = good & (to == ends[active])
+            done[active[finished]] = True
+            onward = good & ~finished
+            back[to[onward]] = at[onward]
+            place[active[onward]] = to[onward]
+            going = active[~finished]
+            active = np.concatenate([going, words_back]) if stuck.any() else going
+        for word in active.tolist():
+            chosen[begins[word] : ends[word]] = -1
+        return done, chosen, ends
 
     # --- chunks ---
 
@@ -271,17 +444,18 @@ def product(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return sorted({(i, k) for i, j in a for k in onward.get(j, ())})
 
 
-def scan(matrices: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+def scan(matrices: list[list[tuple[int, int]]], enter: int = START, leave: int | None = None) -> list[tuple[int, int]]:
     """The entry and exit state of every chunk on the one path through all of them."""
-    through: list[set[int]] = [{START}]
+    through: list[set[int]] = [{enter}]
     for matrix in matrices:
         through.append({j for i, j in matrix if i in through[-1]})
-    (leave,) = through[-1]
+    if leave is None:
+        (leave,) = through[-1]
     out = []
     for matrix, reached in zip(reversed(matrices), reversed(through[:-1]), strict=True):
-        (enter,) = {i for i, j in matrix if j == leave and i in reached}
-        out.append((enter, leave))
-        leave = enter
+        (before,) = {i for i, j in matrix if j == leave and i in reached}
+        out.append((before, leave))
+        leave = before
     return out[::-1]
 
 
@@ -369,12 +543,53 @@ def _transfer(path: str):
     return transfer
 
 
-def _scan_document(rows: pd.DataFrame) -> pd.DataFrame:
+_MATRIX = "key bigint, chunk int, enter array<int>, leave array<int>"
+_STATES = "key bigint, chunk int, enter int, leave int"
+
+
+def _pairs(row) -> list[tuple[int, int]]:
+    return list(zip(row.enter, row.leave, strict=True))
+
+
+def _combine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of one block: its (at most FAN) neighbouring matrices multiplied."""
+    whole = reduce(product, [_pairs(r) for r in rows.sort_values("chunk").itertuples()])
+    return pd.DataFrame({"key": [key[0]], "chunk": [key[1]], "enter": [[i for i, _ in whole]], "leave": [[j for _, j in whole]]})
+
+
+def _descend(rows: pd.DataFrame) -> pd.DataFrame:
+    """States of a block's members from the states at its ends (block_enter, block_leave; null for a whole text)."""
     rows = rows.sort_values("chunk")
-    states = scan([list(zip(r.enter, r.leave, strict=True)) for r in rows.itertuples()])
+    enter, leave = rows.block_enter.iloc[0], rows.block_leave.iloc[0]
+    ends = (START, None) if pd.isna(leave) else (int(enter), int(leave))
+    states = scan([_pairs(r) for r in rows.itertuples()], *ends)
     return rows[["key", "chunk"]].assign(enter=[s[0] for s in states], leave=[s[1] for s in states])
 
 
+def chunk_states(matrices: DataFrame, chunk: int, fan: int = FAN) -> DataFrame:
+    """key, chunk, enter and leave of every chunk: a parallel scan over the matrices of all texts.
+
+    Matrices are multiplied in blocks of ``fan`` neighbours, blocks in blocks, until the
+    longest possible text is one block; states then go down the same tree.  No group has
+    more than ``fan`` small matrices.
+    """
+    block = F.floor(F.col("chunk") / fan).cast("int").alias("block")
+    levels, covered = [matrices], chunk * fan
+    while covered < LONGEST_TEXT:
+        levels.append(levels[-1].groupBy("key", block).applyInPandas(_combine, _MATRIX))
+        covered *= fan
+    states = None
+    for level in reversed(levels):
+        members = level.select("*", block)
+        if states is None:
+            ends = members.withColumns({"block_enter": F.lit(None).cast("int"), "block_leave": F.lit(None).cast("int")})
+        else:
+            above = states.select("key", F.col("chunk").alias("block"), F.col("enter").alias("block_enter"), F.col("leave").alias("block_leave"))
+            ends = members.join(above, ["key", "block"])
+        states = ends.groupBy("key", "block").applyInPandas(_descend, _STATES)
+    return states
+
+
 def _trace(path: str):
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model(path)
@@ -390,8 +605,8 @@ def encode_pieces(docs: DataFrame, model_path: str, chunk: int = CHUNK, remember
     """doc_id and ids (array of int) of every row's whole text, as the model's own library gives them.
 
     A null or empty text has no ids.  Texts above ``chunk`` characters are cut into chunks
-    spread over all tasks: chunk matrices, one scan of a document's small matrices, and an
-    independent trace per chunk.  Repeated rows and ids give a row each; other columns are
+    spread over all tasks: chunk matrices, a parallel scan that combines them in blocks
+    (``chunk_states``), and an independent trace per chunk.  Repeated rows and ids give a row each; other columns are
     ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
@@ -406,13 +621,11 @@ def encode_pieces(docs: DataFrame, model_path: str, chunk: int = CHUNK, remember
         )
         .repartition(partitions(docs.sparkSession), "key", "chunk")
     )
-    matrices = chunks.mapInPandas(
-        _transfer(model_path), "key bigint, chunk int, enter array<int>, leave array<int>"
-    )
-    states = matrices.groupBy("key").applyInPandas(_scan_document, "key bigint, chunk int, enter int, leave int")
-    traced = chunks.join(states, ["key", "chunk"]).mapInPandas(
-        _trace(model_path), "key bigint, doc_id bigint, chunk int, ids array<int>"
-    )
+    matrices = persist_reliably(chunks.mapInPandas(_transfer(model_path), _MATRIX))
+    states = chunk_states(matrices, chunk)
+    # A number of partitions of its own: chunks are few bytes but long work.
+    spread = chunks.join(states, ["key", "chunk"]).repartition(partitions(docs.sparkSession), "key", "chunk")
+    traced = spread.mapInPandas(_trace(model_path), "key bigint, doc_id bigint, chunk int, ids array<int>")
     joined = traced.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")
     )

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from firstborn.llm.piece_codec import PieceModel, decode_pieces, encode_pieces, product, scan
+from firstborn.llm.piece_codec import FAN, FEW, PieceModel, chunk_states, decode_pieces, encode_pieces, product, scan
 from firstborn.llm.token_counts import pieces, token_counts
 from firstborn.llm.token_files import PlaneReader, encode_to_bytes, read_token_checksums, write_token_files
 from firstborn.session import scratch_path
@@ -108,3 +108,41 @@ def test_chunk_matrices_multiply():
     states = scan(matrices)
     joined = [p for i, s in enumerate(states) for p in model.trace(*around(i), *s)]
     assert joined == model.path(text)
+
+
+def test_states_come_down_the_tree(spark):
+    model = PieceModel(PIECE)
+    text = model.normal("the quick brownfoxjumpsoverthelazydog and 日本語 again " * 50)
+    cut = [text[i : i + 13] for i in range(0, len(text), 13)]
+    assert len(cut) > 3 * FAN
+    around = lambda i: (text[max(0, 13 * i - 16) : 13 * i], cut[i], text[13 * i + 13 : 13 * i + 29])
+    matrices = [model.matrix(*around(i), i == 0, i == len(cut) - 1) for i in range(len(cut))]
+    rows = [(7, n, [i for i, _ in m], [j for _, j in m]) for n, m in enumerate(matrices)]
+    table = spark.createDataFrame(rows, "key bigint, chunk int, enter array<int>, leave array<int>")
+    got = [(r.enter, r.leave) for r in chunk_states(table, 13).orderBy("chunk").collect()]
+    assert got == scan(matrices)
+
+
+def test_a_text_of_a_thousand_chunks(frame):
+    text = "".join(chr(97 + i * i % 23) + (" " if i % 7 == 0 else "") for i in range(16_000)) + "日本語 end"
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    (row,) = encode_pieces(frame([(1, text)]), PIECE, chunk=16).collect()
+    assert row.ids == library.encode(text)
+
+
+@given(st.lists(st.text(alphabet="▁aeinrstbè日\U0001f600.\n9", min_size=1, max_size=14), min_size=FEW + 1, max_size=60, unique=True))
+@settings(max_examples=60, deadline=None)
+def test_words_side_by_side(words):
+    model = test_words_side_by_side.__dict__.setdefault("model", PieceModel(PIECE))
+    found = dict(model.encode_words(words))
+    assert set(found) == set(words)
+    assert all(np.frombuffer(found[w], "<i4").tolist() == model.to_ids(model.path(w)) for w in words)
+
+
+def test_words_met_again_are_remembered():
+    model = PieceModel(PIECE)
+    model.learn({f"word{i}" for i in range(40)}, 30)
+    model.learn({"word1", "other"}, 30)
+    assert set(model.words) == {"word1", "other"} and "word2" in model.older
+    model.learn({"word2"}, 30)
+    assert "word2" in model.words
