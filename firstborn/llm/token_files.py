@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ BLOCK_IDS = 1 << 16
 MOST_PLANES = 32
 LEVEL = 1
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def split_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -140,15 +141,24 @@ class _WordIds(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes], remembered: int) -> None:
+        """Have the ids of all these words here; words not met for long are forgotten."""
         if len(self) > remembered:
+            self.older = dict(self)
             self.clear()
-        new = list(words.difference(self))
+        new = []
+        for word in words.difference(self):
+            found = self.older.get(word)
+            if found is None:
+                new.append(word)
+            else:
+                self[word] = found
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             for word, enc in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(enc.ids, "<u4").tobytes()
+                self[word] = array("I", enc.ids).tobytes()
 
 
 @lru_cache(maxsize=1)
