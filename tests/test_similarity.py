@@ -129,3 +129,17 @@ def test_variates_without_a_shape_raise():
     for wrong in (math.nan, 0.0, -1.0, math.inf):
         with pytest.raises(ValueError):
             log_gammas(np.array([1.0, wrong]), np.array([1, 2], dtype=np.uint64))
+
+
+def test_crossed_paths_are_not_broadcast(spark, draws, monkeypatch):
+    """Paths crossed with themselves look as small to Spark as the paths."""
+    stored = []
+
+    def keep(df):
+        stored.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(similarity, "persist_reliably", keep)
+    assert similarity.information_losses(draws).count() > 0
+    plan = next(plan for columns, plan in stored if "_overlap" in columns)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
