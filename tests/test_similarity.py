@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from firstborn.functions.variates import log_gammas
 from firstborn.models import StickArrivalPrior
 from firstborn.operators import score, similarity
-from firstborn.operators.labels import canonical_labels, cluster_sizes
+from firstborn.operators.labels import canonical_labels, cluster_sizes, keep_iterations
 from firstborn.plans.elbow import elbow_curve, starting_rows
 
 
@@ -143,3 +143,29 @@ def test_crossed_paths_are_not_broadcast(spark, draws, monkeypatch):
     assert similarity.information_losses(draws).count() > 0
     plan = next(plan for columns, plan in stored if "_overlap" in columns)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_folded_draws_give_the_same_summaries(spark, draws):
+    folded = similarity.observation_paths(draws)
+    truth = spark.range(1, 121).select(F.col("id").alias("obs"), (F.col("id") - (F.col("id") - 1) % 10).alias("cluster"))
+    pairs = truth.select(F.col("cluster").alias("obs_a"), F.col("obs").alias("obs_b"))
+    summaries = [
+        lambda d: similarity.expected_cluster_mates(keep_iterations(d, 3)),
+        lambda d: similarity.ari_over_draws(truth, keep_iterations(d, 3)).withColumn("ari", F.round("ari", 9)),
+        lambda d: similarity.pair_similarity(keep_iterations(d, 3, 2), pairs),
+        lambda d: similarity.atom_members(d),
+        lambda d: similarity.similar_atoms(d, 0.4).withColumn("p", F.round("p", 9)),
+        lambda d: similarity.binder_losses(d).withColumn("loss", F.round("loss", 9)),
+    ]
+    for summary in summaries:
+        one, two = summary(draws), summary(folded)
+        assert sorted(one.columns) == sorted(two.columns)
+        want = sorted(tuple(r) for r in one.collect())
+        assert want and want == sorted(tuple(r) for r in two.select(*one.columns).collect())
+
+
+def test_rows_of_folded_draws_are_not_shuffled_per_draw(spark, draws):
+    """All observations of a path are one row before any draw is laid out."""
+    folded = similarity.observation_paths(draws)
+    kinds = folded.select("chain", "path").distinct().count()
+    assert similarity.atom_draws(folded).count() == 10 * kinds
