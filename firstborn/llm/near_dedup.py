@@ -10,8 +10,8 @@ fewer than c, only the rarest k - c + 1 need a list (a prefix filter): values of
 many documents quote come last and drop out.  A set of at most k shingles is its own sketch, and the bound
 is exact; there the place of a value in both documents' order of rarity must also leave room
 for the overlap.  In a list every class is first compared with one leader; after that only
-classes still in different components are.  No pair that could add a link between components
-is left out.
+classes still in different components are, if 128 bits of their sets do not keep them apart.
+No other pair that could add a link between components is left out.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ SKETCH = 64
 #: Linked pairs of more than RETAINED shingles that the prefix filter, and that the estimate, may
 #: miss at most, at any threshold.
 MISSED, MISSED_ESTIMATE = 2e-8, 1e-6
+#: Linked pairs that the bits of sets of more than RETAINED shingles may keep apart at most.
+MISSED_BITS = 1e-7
+#: Bits of a set that ride along in its lists.
+BITS = 128
 #: Values are counted by this many hash buckets: a fixed table, whatever the corpus.
 BUCKETS = 1 << 22
 #: Parts in which the tasks' tables are added up.
@@ -72,6 +76,22 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def set_bits(values: np.ndarray) -> np.ndarray:
+    """BITS bits of a set, as two numbers.
+
+    Up to RETAINED shingles: the parity of how many fall on each bit; every bit in which two
+    sets differ is a shingle that only one of them has.  Larger sets: whether most shingles
+    have the bit in their hash; two sets agree like the signs of two normal variates whose
+    correlation is the cosine of the sets.
+    """
+    if len(values) <= RETAINED:
+        odd = np.bincount((values >> np.uint64(57)).astype(np.int64), minlength=BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    hashes = np.stack([values, _mix(values ^ _A)], axis=1)
+    ones = np.unpackbits(hashes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(values)).view(np.int64)
+
+
 def _bucket(values: np.ndarray) -> np.ndarray:
     return (_mix(values + _B) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
@@ -120,6 +140,20 @@ def least_common(size: int, similar: float, missed: float) -> int:
     return count
 
 
+@cache
+def most_apart(similar: float) -> int:
+    """In how many bits two sets of more than RETAINED shingles differ at most, but for a share MISSED_BITS of pairs."""
+    # A Jaccard similarity s means a cosine of at least 2 s / (1 + s).
+    p = math.acos(2 * similar / (1 + similar)) / math.pi
+    tail, bits = 0.0, BITS
+    while bits:
+        tail += math.comb(BITS, bits) * p**bits * (1 - p) ** (BITS - bits)
+        if tail > MISSED_BITS:
+            break
+        bits -= 1
+    return bits
+
+
 def listed(size: int, similar: float) -> int:
     """How many of a set's retained values, rarest first, need an inverted list."""
     overlap = int(np.ceil(similar * size - 1e-9))
@@ -133,7 +167,7 @@ def listed(size: int, similar: float) -> int:
 def _sketcher(counts: np.ndarray, similar: float):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            sizes, keys, sketches, rare = [], [], [], []
+            sizes, keys, sketches, rare, bits = [], [], [], [], []
             for text in rows.column("text"):
                 values = shingle_set(text.as_py())
                 sizes.append(len(values))
@@ -143,12 +177,13 @@ def _sketcher(counts: np.ndarray, similar: float):
                 kept = values[:RETAINED]
                 order = np.lexsort((kept, counts[_bucket(kept)]))[: listed(len(values), similar) if len(values) else 0]
                 rare.append(kept[order].view(np.int64))
+                bits.append(set_bits(values))
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), rows.column("tie"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                    _lists(sketches), _lists(rare),
+                    _lists(sketches), _lists(rare), _lists(bits),
                 ],
-                ["doc_id", "tie", "n", "key", "sketch", "rare"],
+                ["doc_id", "tie", "n", "key", "sketch", "rare", "bits"],
             )
 
     return sketch
@@ -160,13 +195,13 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, similar: float) -> DataFrame:
-    """doc_id, tie, n (set size), key (128-bit fingerprint), sketch, and rare: the values with lists, rarest first."""
+    """doc_id, tie, n (set size), key (128-bit fingerprint), sketch, rare: the values with lists, rarest first, and bits."""
     whole = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole_text()).alias("tie"), whole_text().cast("binary").alias("text")
     )
     counts = bucket_counts(docs)  # BUCKETS numbers of 4 bytes
     return whole.mapInArrow(
-        _sketcher(counts, similar), "doc_id bigint, tie bigint, n bigint, key binary, sketch array<bigint>, rare array<bigint>"
+        _sketcher(counts, similar), "doc_id bigint, tie bigint, n bigint, key binary, sketch array<bigint>, rare array<bigint>, bits array<bigint>"
     )
 
 
@@ -227,6 +262,40 @@ def _may_link(a: str, b: str, ratio: tuple[int, int], suffix: str = "") -> Colum
     return sizes & (room | (n > RETAINED) | (m > RETAINED))
 
 
+def _bits_allow(ratio: tuple[int, int]) -> Column:
+    """Whether the bits of two sets allow the similarity: surely for small sets, but for MISSED_BITS for large ones."""
+    part, whole = ratio
+    n, m = F.col("n"), F.col("n_b")
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_b")))
+    # Similar sets have at most this many shingles that are not common.
+    small = apart * (whole + part) <= (n + m) * (whole - part)
+    large = apart <= most_apart(part / whole)
+    return F.when((n <= RETAINED) & (m <= RETAINED), small).when((n > RETAINED) & (m > RETAINED), large).otherwise(F.lit(True))
+
+
+def unsettled(labelled: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Pairs a, b of classes of one list that are in different components and may be similar.
+
+    ``labelled`` has value, band, cid, label (component), n, place, s0 and s1 (its bits).
+    """
+    mixed = (
+        labelled.groupBy("value", "band")
+        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("place", "cid")).alias("leader"))
+        .filter("x <> y")
+        .select("value", "band", F.col("leader.cid").alias("leader"))
+    )
+    # Leaders have been compared with everyone.
+    open_lists = labelled.join(mixed, ["value", "band"]).filter("cid <> leader")
+    other = open_lists.select("value", "band", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "place", "s0", "s1")])
+    near = _may_link("", "", ratio, "_b") & _bits_allow(ratio)
+    return (
+        open_lists.join(other, ["value", "band"])
+        .filter((F.col("cid") > F.col("cid_b")) & (F.col("label") != F.col("label_b")) & near)
+        .select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, tie, n_shingles, component_id and kept of every row.
 
@@ -244,7 +313,9 @@ def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> Data
         rows.filter("n > 0")
         .groupBy("key")
         .agg(
-            F.min(F.struct("doc_id", "tie")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("rare").alias("rare")
+            F.min(F.struct("doc_id", "tie")).alias("at"),
+            *[F.first(c).alias(c) for c in ("n", "sketch", "rare")],
+            *[F.first(F.col("bits")[i]).alias(f"s{i}") for i in (0, 1)],
         )
         .withColumn("cid", F.monotonically_increasing_id())
     )
@@ -276,23 +347,9 @@ def near_duplicates(docs: DataFrame, ratio: tuple[int, int] = (85, 100)) -> Data
 
     # What a leader did not settle: classes of one list that are in different components.
     label = F.coalesce("component", "cid")
-    labelled = persist_reliably(banded.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", label).drop("component"))
-    mixed = (
-        labelled.groupBy("value", "band")
-        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("place", "cid")).alias("leader"))
-        .filter("x <> y")
-        .select("value", "band", F.col("leader.cid").alias("leader"))
-    )
-    # Leaders have been compared with everyone.
-    open_lists = labelled.join(mixed, ["value", "band"]).filter("cid <> leader")
-    other = open_lists.select("value", "band", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "place")])
-    left = (
-        open_lists.join(other, ["value", "band"])
-        .filter((F.col("cid") > F.col("cid_b")) & (F.col("label") != F.col("label_b")) & _may_link("", "", ratio, "_b"))
-        .select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))
-        .distinct()
-    )
-    rest = persist_reliably(estimated(left, classes, similar))
+    told = classes.select("cid", "s0", "s1").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", label).drop("component")
+    labelled = persist_reliably(banded.join(told, "cid"))
+    rest = persist_reliably(estimated(unsettled(labelled, ratio), classes, similar))
     more = persist_reliably(confirmed(rest, texts, ratio))
     final = components(edges.unionByName(more)).withColumnRenamed("id", "cid")
     ids = classes.select("cid", "key", F.col("at.doc_id").alias("least")).join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

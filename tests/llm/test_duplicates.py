@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from firstborn.llm.components import components
 from firstborn.llm.line_dedup import BUCKET_BITS, dedup_lines, line_shingles, ordered_tokens
-from firstborn.llm.near_dedup import keep_first_of_group, near_duplicates
+from firstborn.llm.near_dedup import keep_first_of_group, most_apart, near_duplicates, set_bits, unsettled
 from firstborn.llm.suffix_dedup import repeated_spans, suffix_ranks, window_owners
 from firstborn.llm.vector_dedup import link_vectors
 
@@ -107,6 +107,33 @@ def test_near_duplicates_of_nothing(frame):
     assert near_duplicates(frame([(1, None), (2, "")])).count() == 2
 
 
+def test_bits_keep_linked_pairs_together():
+    """Pairs exactly at the threshold stay within the limit, for small and large sets and unequal sizes."""
+    rng = np.random.default_rng(5)
+    for common, own_a, own_b in ((85, 15, 0), (34, 3, 3), (850, 75, 75), (850, 0, 150)):
+        for _ in range(700):
+            values = rng.integers(0, 2**64, common + own_a + own_b, dtype=np.uint64)
+            a, b = values[: common + own_a], np.concatenate([values[:common], values[common + own_a :]])
+            apart = sum(int(x).bit_count() for x in (set_bits(a) ^ set_bits(b)).view(np.uint64))
+            small = common + own_a + own_b <= 256
+            assert apart <= (own_a + own_b if small else most_apart(0.85))
+
+
+@pytest.mark.parametrize("passage, own", [(60, 500), (12, 40), (40, 150)])
+def test_crowds_with_a_common_passage_are_not_compared(spark, passage, own):
+    """Many classes of one list in different components: only pairs that may be similar come out of the join."""
+    rng = np.random.default_rng(6)
+    edit = (passage + own) // 30
+    passage = rng.integers(0, 2**64, passage, dtype=np.uint64)
+    sets = [np.concatenate([passage, rng.integers(0, 2**64, own, dtype=np.uint64)]) for _ in range(200)]
+    sets += [np.concatenate([s[:-edit], rng.integers(0, 2**64, edit, dtype=np.uint64)]) for s in sets[1:11]]
+    rows = [(7, 1, i, i, len(v), 0 if i == 0 else 3, *(int(x) for x in set_bits(v))) for i, v in enumerate(sets)]
+    schema = "value bigint, band int, cid bigint, label bigint, n bigint, place int, s0 bigint, s1 bigint"
+    pairs = {(r.a, r.b) for r in unsettled(spark.createDataFrame(rows, schema), (85, 100)).collect()}
+    assert {(200 + i, 1 + i) for i in range(10)} <= pairs
+    assert len(pairs) < 40
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1000, 1002), (5000, 5000)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
