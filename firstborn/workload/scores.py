@@ -8,6 +8,7 @@ from ..functions.draws import hash_uniform
 from ..operators import choice, draws as dr, labels, likelihood as lk, prior, score, stats
 from ..operators.stats import whiten
 from ..plans import starts
+from ..session import persist_reliably
 from .base import (
     CA, CW, DP, DR, EA, FLAGS, STICKS, TK, TOPIC_MODEL, TOPICS, UA, UW, VALUES,
     customer_flags, customers, draws, events, gaussian_marginal_sql, gaussian_predictive_sql,
@@ -223,10 +224,11 @@ SELECT series, obs, candidate, round(lgamma(sum(x)::DOUBLE + 1) + lgamma(sum(pos
  + sum(lgamma(x + post) - lgamma(post) - lgamma(x + 1::DOUBLE)), 5) AS log_data FROM z GROUP BY ALL""")
 def m5(spark, sf):
     rows = customers(spark, sf)
-    terms = customer_flags(spark, sf, rows)
-    held = stats.count_stats(terms, rows, ["series"], ["series", "obs"])
+    # All three are read by several joins of the predictive.
+    terms = persist_reliably(customer_flags(spark, sf, rows))
+    held = persist_reliably(stats.count_stats(terms, rows, ["series"], ["series", "obs"]))
     clusters = rows.select("series", F.col("cluster").alias("candidate")).distinct()
-    pairs = rows.select("series", "obs", "cluster").join(clusters, "series")
+    pairs = persist_reliably(rows.select("series", "obs", "cluster").join(clusters, "series"))
     out = lk.dirichlet_predictive(terms, held, pairs, FLAGS, ["series"])
     return out.select("series", "obs", "candidate", r("log_data", 5).alias("log_data"))
 

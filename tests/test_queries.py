@@ -35,3 +35,9 @@ def test_query_matches_sql(spark, con, name):
 def test_contract(spark):
     assert contract.entry(spark).columns
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", ["m5_count_predictive", "m18_leave_one_out_counts"])
+def test_line_items_are_counted_once(spark, name):
+    """Predictives read the counts many times, so they come from a written table."""
+    assert not any("lineitem" in path for path in contract.queries()[name](spark, SF).inputFiles())
