@@ -280,8 +280,10 @@ def leave_one_out(
             .drop("_n_k", "_s", "_left", "_sum", "y")
         )
     else:
+        # Both are read by several joins below; what counts the terms runs once.
+        terms = persist_reliably(terms)
+        held = persist_reliably(count_stats(terms, assignments, by, [*by, "obs"]))
         scored = persist_reliably(prior_scores(assignments, prior, by, rebirth=rebirth))
-        held = count_stats(terms, assignments, by, [*by, "obs"])
         # A new cluster must not meet the stored counts of the singleton it replaces.
         pairs = scored.filter(~F.col("is_new"))
         fresh = scored.filter(F.col("is_new"))
