@@ -148,6 +148,8 @@ def prior_scores(
     """
     if not by:
         raise ValueError("name a series key; a single series takes a constant column")
+    # Read for sizes, rows and running sums.
+    assignments = persist_reliably(assignments)
     sizes = persist_reliably(cluster_sizes(assignments, by))
     rows = scored_rows(assignments, sizes, by, carry)
     more = [c for c in per_cluster.columns if c not in (*by, "cluster")] if per_cluster is not None else []

@@ -169,3 +169,16 @@ def test_rows_of_folded_draws_are_not_shuffled_per_draw(spark, draws):
     folded = similarity.observation_paths(draws)
     kinds = folded.select("chain", "path").distinct().count()
     assert similarity.atom_draws(folded).count() == 10 * kinds
+
+
+def test_prior_scores_compute_the_assignments_once(spark, monkeypatch):
+    seen, write = [], score.persist_reliably
+
+    def noted(df):
+        seen.append("Range (" in df._jdf.queryExecution().toString())
+        return write(df)
+
+    monkeypatch.setattr(score, "persist_reliably", noted)
+    rows = spark.range(1, 21).select(F.lit(1).alias("series"), F.col("id").alias("obs"), (F.col("id") - (F.col("id") - 1) % 4).alias("cluster"))
+    scores = score.prior_scores(rows, StickArrivalPrior(sticks=(1.0, 1.0), arrivals=(1.0, 1.0)), ["series"])
+    assert sum(seen) == 1 and scores.count() > 20
