@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from firstborn.models import CountModel, DirichletProcessPrior, GaussianModel, GibbsSettings, MetropolisSettings, StickArrivalPrior
+from firstborn.models import CountModel, DirichletProcessPrior, GaussianModel, GibbsSettings, MetropolisSettings, StickArrivalPrior, TopicModel
 from firstborn.operators import exact, likelihood as lk
 from firstborn.operators.stats import whiten
 from firstborn.plans.fit import fit
+from firstborn.sources.tables import words
 
 COPIES = 4000
 STICKS = StickArrivalPrior(sticks=(1.3, 0.7), arrivals=(1.5, 2.0))
@@ -64,3 +65,23 @@ def test_exact_posterior_is_invariant(spark, model, law, settings):
     assert set(got) <= set(keys)
     assert moved > 0
     assert distance < 0.045
+
+
+def test_resampled_topics_write_one_row_per_term_not_one_per_topic(spark, monkeypatch):
+    from firstborn.plans import topics
+
+    written = []
+
+    def write(df):
+        written.append(df.count())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(topics, "persist_reliably", write)
+    rows = spark.createDataFrame([(1, 1, 1, "a b b c"), (1, 2, 1, "c d a"), (1, 3, 3, None)], "series int, obs bigint, cluster bigint, text string")
+    tokens = words(rows, ["series", "obs"])
+    model = TopicModel(8, 20)
+    drawn = topics.resample_topics(topics.random_topics(tokens, ["series"], model, 1), rows, ["series"], model, 1, 2)
+    kept = sorted(tuple(r) for r in drawn.select("obs", "place", "term").collect())
+    assert kept == sorted(tuple(r) for r in tokens.select("obs", "place", "term").collect())
+    assert drawn.filter(~F.col("topic").between(0, 7)).count() == 0
+    assert max(written) == 4  # four terms; eight topics ride along in arrays
