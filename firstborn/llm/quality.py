@@ -24,7 +24,7 @@ PASSAGE_BYTES = 1024
 FIT_DOCUMENTS = 6_000
 FIT_PASSAGES = 48
 #: Bytes of text encoded at a time; the arrays take about a hundred times as much.
-SLICE = 1 << 19
+SLICE = 1 << 17
 HIDDEN = 16
 STEPS = 400
 
@@ -113,6 +113,20 @@ def encode_passages(texts: list[bytes], passage_bytes: int = PASSAGE_BYTES) -> t
     return out, per_text
 
 
+def byte_slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in order, null as empty, in parts of SLICE bytes and at most one text more: (first, texts)."""
+    part, held, first = [], 0, 0
+    for at, text in enumerate(texts):
+        value = text.as_py() or b""
+        part.append(value.encode() if isinstance(value, str) else value)
+        held += len(part[-1])
+        if held >= SLICE:
+            yield first, part
+            part, held, first = [], 0, at + 1
+    if part:
+        yield first, part
+
+
 @dataclass
 class AttentionModel:
     """Gated attention (tanh times sigmoid) over passages, and a logistic unit on their weighted sum."""
@@ -225,9 +239,9 @@ def fit_quality(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                x, per_text = encode_passages(part.column("text").to_pylist())
+            for start, texts in byte_slices(batch.column("text")):
+                part = batch.slice(start, len(texts))
+                x, per_text = encode_passages(texts)
                 first = np.cumsum(per_text) - per_text
                 flat = []
                 for at, n in zip(first, per_text, strict=True):
@@ -269,18 +283,10 @@ def score_quality(docs: DataFrame, model: AttentionModel | float) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = rows.column("text")
-            out, at = [], 0
-            while at < len(texts):
-                part, held = [], 0
-                while at < len(texts) and held < SLICE:
-                    part.append(texts[at].as_py())
-                    held += len(part[-1])
-                    at += 1
-                if isinstance(model, float):
-                    out.append(np.full(len(part), model))
-                else:
-                    out.append(model.score(*encode_passages(part)))
+            out = [
+                np.full(len(part), model) if isinstance(model, float) else model.score(*encode_passages(part))
+                for _, part in byte_slices(rows.column("text"))
+            ]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *out]), pa.float64())], ["doc_id", "score"]
             )
@@ -289,24 +295,15 @@ def score_quality(docs: DataFrame, model: AttentionModel | float) -> DataFrame:
     return rows.mapInArrow(score, "doc_id bigint, score double")
 
 
+def passing(batches: Iterator[pa.RecordBatch], model: AttentionModel | float, at_least: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose text scores ``at_least``, a slice at a time: no second copy of a batch is held."""
+    for rows in batches:
+        for first, part in byte_slices(rows.column("text")):
+            scores = np.full(len(part), model) if isinstance(model, float) else model.score(*encode_passages(part))
+            yield rows.slice(first, len(part)).filter(pa.array(scores >= at_least))
+
+
 def keep_quality(docs: DataFrame, model: AttentionModel | float, at_least: float, columns: tuple[str, ...]) -> DataFrame:
     """The rows of ``docs`` whose text scores ``at_least``, with their columns, in one pass."""
-    schema = docs.select(*columns).schema
-    names = list(columns)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts = rows.column("text")
-            passed, at = [], 0
-            while at < len(texts):
-                part, held = [], 0
-                while at < len(texts) and held < SLICE:
-                    part.append((texts[at].as_py() or "").encode())
-                    held += len(part[-1])
-                    at += 1
-                scores = np.full(len(part), model) if isinstance(model, float) else model.score(*encode_passages(part))
-                passed.append(scores >= at_least)
-            if passed:
-                yield rows.filter(pa.array(np.concatenate(passed)))
-
-    return docs.select(*names).mapInArrow(keep, schema)
+    slim = docs.select(*columns)
+    return slim.mapInArrow(lambda batches: passing(batches, model, at_least), slim.schema)

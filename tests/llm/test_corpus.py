@@ -234,3 +234,17 @@ def test_pipeline(spark, tmp_path, frame, odd_rows):
     for stage in (f for _, f in corpus_pipeline.STAGES):
         stage(spark, frame(odd_rows), sf).count()
         assert stage(spark, frame([]), sf).count() == 0
+
+
+def test_quality_stage_holds_and_returns_slices_of_a_batch():
+    import pyarrow as pa
+
+    from firstborn.llm import quality
+
+    texts = [None, "", *["word " * 8_000] * 20, "é" * 10]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = list(quality.passing(iter([batch]), 0.5, 0.3))
+    assert [i for part in out for i in part.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert [t for part in out for t in part.column("text").to_pylist()] == texts
+    assert max(sum(len(t or "") for t in part.column("text").to_pylist()) for part in out) < quality.SLICE + 40_001
+    assert sum(len(part) for part in quality.passing(iter([batch]), 0.2, 0.3)) == 0
