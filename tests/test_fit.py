@@ -4,6 +4,8 @@ Thousands of copies of one short series start from exact posterior draws; after
 a few sweeps their clusterings must still follow the exact posterior.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -85,3 +87,33 @@ def test_resampled_topics_write_one_row_per_term_not_one_per_topic(spark, monkey
     assert kept == sorted(tuple(r) for r in tokens.select("obs", "place", "term").collect())
     assert drawn.filter(~F.col("topic").between(0, 7)).count() == 0
     assert max(written) == 4  # four terms; eight topics ride along in arrays
+
+
+def test_few_terms_ride_along_and_give_the_draws_of_the_joins(spark, monkeypatch):
+    from firstborn.functions.special import log_beta_gain
+    from firstborn.plans import fit as plan
+
+    rows = spark.createDataFrame([(s, o) for s in (1, 2) for o in range(1, 9)], "series int, obs bigint")
+    counts = [(s, o, t, 1 + (o * s + ord(t)) % 5) for s in (1, 2) for o in range(1, 9) for t in "abc" if (o + ord(t)) % 3]
+    terms = spark.createDataFrame(counts, "series int, obs bigint, term string, cnt bigint")
+    settings = GibbsSettings(iterations=3, seed=7)
+    joined = []
+    whole = plan._Sampler.term_parameters
+    monkeypatch.setattr(plan._Sampler, "term_parameters", lambda *args: joined.append(1) or whole(*args))
+
+    def run():
+        out = fit(rows, COUNTS, PROCESS, settings, ["series"], terms)
+        draws = sorted(tuple(r) for r in out.draws.select("series", "iteration", "obs", "cluster").collect())
+        scores = [r.log_likelihood for r in out.trace.orderBy("series", "iteration").collect()]
+        return draws, scores
+
+    draws, scores = run()
+    assert not joined
+    monkeypatch.setattr(plan, "NARROW", 0)
+    again, others = run()
+    assert joined
+    assert draws == again
+    assert scores == pytest.approx(others)
+    gain = spark.sql("SELECT array(0.5D, 2.0D, 1.5D) AS a, array(3.0D, 0.0D) AS c").select(log_beta_gain("a", "c")).first()[0]
+    want = [math.lgamma(v) for v in (3.5, 2.0, 1.5, 4.0, 0.5, 2.0, 1.5, 7.0)]
+    assert gain == pytest.approx(sum(want[:3]) + want[3] - sum(want[4:7]) - want[7])
