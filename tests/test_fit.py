@@ -117,3 +117,20 @@ def test_few_terms_ride_along_and_give_the_draws_of_the_joins(spark, monkeypatch
     gain = spark.sql("SELECT array(0.5D, 2.0D, 1.5D) AS a, array(3.0D, 0.0D) AS c").select(log_beta_gain("a", "c")).first()[0]
     want = [math.lgamma(v) for v in (3.5, 2.0, 1.5, 4.0, 0.5, 2.0, 1.5, 7.0)]
     assert gain == pytest.approx(sum(want[:3]) + want[3] - sum(want[4:7]) - want[7])
+
+
+def test_members_are_drawn_without_sorting_all_pairs(spark, monkeypatch):
+    from firstborn.plans import fit as plan
+
+    monkeypatch.setattr(plan, "persist_reliably", lambda df: df)
+    state = spark.createDataFrame([(1, 1, o, min(o, 3), [float(o)]) for o in range(1, 9)], "chain int, series int, obs bigint, cluster bigint, y array<double>")
+    params = spark.createDataFrame(
+        [(1, 1, c, 8, 1, -1.0, -0.5 * c, [float(c)]) for c in range(1, 4)],
+        "chain int, series int, cluster bigint, n bigint, n_k bigint, log_psi double, path double, theta array<double>",
+    )
+    sampler = plan._Sampler(state.select("series", "obs", "y"), NORMAL, PROCESS, GibbsSettings(1), ["series"], None, 64, "")
+    moved = sampler.gibbs_members(state, params, None, 2)
+    assert "SortAggregate" not in moved._jdf.queryExecution().executedPlan().toString()
+    rows = {r.obs: r for r in moved.collect()}
+    assert {o: r.y for o, r in rows.items()} == {o: [float(o)] for o in range(1, 9)}
+    assert all(r.cluster == o if o <= 3 else r.cluster in (1, 2, 3) for o, r in rows.items())
