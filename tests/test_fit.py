@@ -134,3 +134,18 @@ def test_members_are_drawn_without_sorting_all_pairs(spark, monkeypatch):
     rows = {r.obs: r for r in moved.collect()}
     assert {o: r.y for o, r in rows.items()} == {o: [float(o)] for o in range(1, 9)}
     assert all(r.cluster == o if o <= 3 else r.cluster in (1, 2, 3) for o, r in rows.items())
+
+
+def test_topic_counts_ride_along(spark):
+    from firstborn.plans import fit as plan
+
+    rows = spark.createDataFrame([(1, 1, "a b b c"), (1, 2, "c d a"), (1, 3, None)], "series int, obs bigint, text string")
+    sampler = plan._Sampler(
+        rows, TopicModel(3, 5), STICKS, GibbsSettings(1, starts=("all same cluster",)), ["series"], words(rows, ["series", "obs"]), 64, "", vocabulary=[0, 1, 2]
+    )
+    state = {r.obs: r.c for r in sampler.start().collect()}
+    want = {o: [0.0] * 3 for o in (1, 2, 3)}
+    for r in sampler.tokens.collect():
+        want[r.obs][r.topic] += 1
+    assert state == want
+    assert [sum(want[o]) for o in (1, 2, 3)] == [4, 3, 0]
