@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from firstborn.llm.components import components
@@ -11,6 +12,7 @@ from firstborn.llm.line_dedup import BUCKET_BITS, dedup_lines, line_shingles, or
 from firstborn.llm.near_dedup import keep_first_of_group, most_apart, near_duplicates, set_bits, unsettled
 from firstborn.llm.suffix_dedup import repeated_spans, suffix_ranks, window_owners
 from firstborn.llm.vector_dedup import link_vectors
+from firstborn.session import persist_reliably
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -216,6 +218,39 @@ def test_repeated_spans(frame, odd_rows):
         assert kept is None and not spans or kept == rest
 
 
+def test_spans_of_short_phrases_in_common_are_not_sent(frame, monkeypatch):
+    """Documents of the same short phrases in ever other orders: only windows that repeat are sent to a suffix array."""
+    rng = random.Random(11)
+    phrases = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(24)) for _ in range(400)]
+    passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
+    rows = [(d, "".join(rng.choice(phrases) for _ in range(40))) for d in range(200)]
+    rows += [(d, t[: d % 900] + passage[d % 100 :] + t[d % 900 :]) for d, t in rows[::20]]
+    rows = [(200 + i if i >= 200 else d, t) for i, (d, t) in enumerate(rows)]
+    sent: list[int] = []
+
+    def persist(df):
+        table = persist_reliably(df)
+        if {"bucket", "places", "text"} <= set(table.columns):
+            sent.extend(len(zstandard.ZstdDecompressor().decompress(r.text)) for r in table.select("text").collect())
+        return table
+
+    monkeypatch.setattr("firstborn.llm.suffix_dedup.persist_reliably", persist)
+    got = repeated_spans(frame(rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept.decode()) for r in got) == removed_by_hand(rows, 50)
+    assert sent and sum(sent) < sum(len(t) for _, t in rows) / 2
+
+
+def test_spans_of_texts_of_many_slices(frame):
+    """Runs of one byte, short periods and repeats across the slices that long texts are cut into."""
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    long = own(290_000)
+    rows = [(1, long), (2, own(131_072 - 30) + long[200_000:200_400] + own(140_000)), (3, "a" * 3000 + own(200) + "xyz" * 400)]
+    rows += [(4, own(70) + "a" * 1500), (5, "xyz" * 90 + long[131_000:131_200] + "zyx" * 20), (6, long[5:]), (7, long[131_072 - 49 : 131_072 + 1])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept.decode()) for r in repeated_spans(frame(rows)).collect())
+    assert got == removed_by_hand(rows, 50)
+
+
 def test_suffix_ranks_and_sharded_windows(monkeypatch):
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 400).astype(np.uint8)
