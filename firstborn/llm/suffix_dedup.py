@@ -38,7 +38,7 @@ SHARD_BYTES = 3 << 20
 #: Every shard sends a row to every bucket, so rows must stay large however much text there is.
 TEXT_SHARD = 8 << 20
 GRAM_BUCKET = 16 << 20
-SEGMENT_BUCKET = 24 << 20
+SEGMENT_BUCKET = 16 << 20
 #: Shards and buckets of little text (1 MB at least) are smaller, for so many there may be.
 LEAST_TEXT = 1 << 20
 SPREAD = 128

@@ -224,8 +224,7 @@ def test_spans_of_short_phrases_in_common_are_not_sent(frame, monkeypatch):
     phrases = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(24)) for _ in range(400)]
     passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
     rows = [(d, "".join(rng.choice(phrases) for _ in range(40))) for d in range(200)]
-    rows += [(d, t[: d % 900] + passage[d % 100 :] + t[d % 900 :]) for d, t in rows[::20]]
-    rows = [(200 + i if i >= 200 else d, t) for i, (d, t) in enumerate(rows)]
+    rows += [(200 + d, t[: d % 900] + passage[d % 100 :] + t[d % 900 :]) for d, t in rows[::20]]
     sent: list[int] = []
 
     def persist(df):
